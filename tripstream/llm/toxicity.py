@@ -79,7 +79,8 @@ def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     for i, f in enumerate(found):
         x[i, np.isin(chosen, f)] = 1
     rng = np.random.default_rng(seed)
-    w0, w, v = float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS))
+    w0, w = float(np.log(share / (1 - share))), np.zeros(len(chosen), np.float32)
+    v = rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)
     moment = [[0.0, 0.0], [np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(v), np.zeros_like(v)]]
     for step in range(1, 401):
         rows = rng.choice(n, min(n, 2048), replace=False)
@@ -87,12 +88,13 @@ def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
         s = b @ v
         raw = w0 + b @ w + 0.5 * ((s * s).sum(1) - b @ (v * v).sum(1))
         e = (1 / (1 + np.exp(-np.clip(raw, -50, 50))) - y[rows]) * np.where(y[rows] > 0, WEIGHT, 1.0) / len(rows)
+        e = e.astype(np.float32)
         grads = [e.sum(), b.T @ e + 2e-4 * w, b.T @ (e[:, None] * s) - (b.T @ e)[:, None] * v + 1e-3 * v]
         now = [w0, w, v]
         for i, g in enumerate(grads):
             moment[i][0] = 0.9 * moment[i][0] + 0.1 * g
             moment[i][1] = 0.99 * moment[i][1] + 0.01 * g * g
-            now[i] = now[i] - 0.05 * (moment[i][0] / (1 - 0.9**step)) / (np.sqrt(moment[i][1] / (1 - 0.99**step)) + 1e-8)
+            now[i] = now[i] - np.float32(0.05) * (moment[i][0] / (1 - 0.9**step)) / (np.sqrt(moment[i][1] / (1 - 0.99**step)) + 1e-8)
         w0, w, v = now
     return Machine(chosen, float(w0), w, v)
 
