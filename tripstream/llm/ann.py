@@ -98,7 +98,7 @@ def _best(k: int, tables: Tables):
         out = []
         if len(rows) and len(asks):
             v, ids = np.array(rows["v"].tolist(), float), rows["vec_id"].to_numpy()
-            q, names = np.array(asks["v"].tolist(), float), asks["query_id"].to_numpy()
+            q, names = np.array(asks["q"].tolist(), float), asks["query_id"].to_numpy()
             seen = np.zeros((len(q), len(v)), bool)
             for t in range(len(tables.a)):
                 buckets, at = np.unique(tables.keys(v, t), return_inverse=True)
@@ -148,7 +148,7 @@ def nearest(
     if not shape:
         return src.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, looked long")
     rows = src.filter(F.size("v") == shape[0].dims)
-    asks = rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
+    asks = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     n_rows, n_asks = max(1, -(-shape[0].n // block_rows)), max(1, -(-asks.count() // block_queries))
     rows = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
     asks = asks.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
