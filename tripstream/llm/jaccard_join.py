@@ -259,5 +259,5 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5)
     return known.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
