@@ -187,7 +187,8 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             page = Page(html)
             body = zlib.crc32(page.text().encode("utf-8", "surrogatepass"))
             rows += [(host, int(np.uint64(h).astype(np.int64)), body) for h in page.candidates] + [(host, None, body)]
-        yield pd.DataFrame(rows, columns=["host", "subtree", "body"]).astype({"subtree": "Int64"})
+        hosts, subtrees, bodies = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pd.DataFrame({"host": hosts, "subtree": pd.array(subtrees, "Int64"), "body": np.array(bodies, np.int64)})
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
