@@ -237,7 +237,7 @@ def test_url_filter(spark):
 
 
 def test_quality_rules(spark, texts):
-    junk = ["a b c d e " * 5, "same line here\n" * 6 + "x y z q w e r", " ".join(["%%%w"] * 30), " ".join(f"w{i}" for i in range(30))]
+    junk = ["a b c d e " * 5, "same line here\n" * 6 + "x y z q w e r", " ".join(["%%%w"] * 30), " ".join(f"{a}{b}nter" for a in "abcdef" for b in "mnopq")]
     some = [*texts, *junk]
     got = {r.doc_id: r for r in quality_rules.quality_cascade(docs(spark, some)).collect()}
     for i, t in enumerate(some):
