@@ -78,9 +78,6 @@ _LAST = "event_id string, event_us long, trip_id string, lat double, lng double"
 
 
 def _pairs(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     rows = pd.concat(list(frames)).sort_values(["event_ts", "event_id"], kind="stable").reset_index(drop=True)
     last = state.getOption
     first = {"event_id": None, "event_ts": pd.NaT, "trip_id": None, "lat": None, "lng": None}
@@ -91,15 +88,17 @@ def _pairs(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     at = int(end.event_ts.value // 1000)
     if last is None or at >= last[1]:
         state.update((end.event_id, at, end.trip_id, float(end.lat), float(end.lng)))
-    state.setTimeoutDuration(6 * 3600 * 1000)
     out = rows.assign(**{f"prev_{c}": before[c] for c in before.columns})
     yield out[out.prev_event_id.notna()][[c.split()[0] for c in _PAIR.split(", ")]]
 
 
 def teleport_stream(matched: DataFrame) -> DataFrame:
-    """Teleports with the previous ping carried over batches, in the order of arrival of batches and of time within one."""
+    """Teleports with the previous ping carried over batches, in the order of arrival of batches and of time within one.
+
+    The state is one ping per driver. It has no timeout: with one, a run over what is available never ends.
+    """
     pairs = matched.select("event_id", "event_ts", "driver_id", "trip_id", "lat", "lng").groupBy("driver_id")
-    return marts.flagged(pairs.applyInPandasWithState(_pairs, _PAIR, _LAST, "append", GroupStateTimeout.ProcessingTimeTimeout))
+    return marts.flagged(pairs.applyInPandasWithState(_pairs, _PAIR, _LAST, "append", GroupStateTimeout.NoTimeout))
 
 
 def compact(spark: SparkSession, path: str, files: int) -> DataFrame:
