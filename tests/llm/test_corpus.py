@@ -258,7 +258,7 @@ def test_pipeline_runs_stage_by_stage(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
-    some = docs(spark, ["a b c d e f password=abcdef1", "a b c d e f password=abcdef1", "other words are here now", "noid"]).drop("TEXT", "task")
+    some = docs(spark, ["a b c d e f password=abcdef1", "a b c d e f password=abcdef1", "other words are here now", "noid"]).toDF("doc_id", "text", "lang", "source", "n_chars", "u", "v").drop("u", "v")
     kept = corpus_pipeline.near_duplicate_stage(spark, some, "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "2", "None"] and kept.columns == some.columns
     clean = corpus_pipeline.secret_stage(spark, kept, "")
