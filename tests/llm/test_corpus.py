@@ -42,8 +42,9 @@ def shingle_sets(texts, k):
         yield frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("k, num, den", [(3, 9, 10), (5, 4, 5)])
-def test_jaccard_join_is_exact(spark, texts, k, num, den):
+@pytest.mark.parametrize("k, num, den, block", [(3, 9, 10, 384), (5, 4, 5, 384), (5, 4, 5, 2)])
+def test_jaccard_join_is_exact(spark, texts, monkeypatch, k, num, den, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # larger groups are divided again
     sets = list(shingle_sets(texts, k))
     links = [[j for j in range(len(sets)) if j != i and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])] for i in range(len(sets))]
     root = list(range(len(sets)))
@@ -81,6 +82,9 @@ def test_signatures_meet_whenever_sets_link():
                 both = len(np.intersect1d(a, b))
                 if den * both >= num * (len(a) + len(b) - both) and len(b):
                     assert len(np.intersect1d(jaccard_join.signatures(a, num, den), jaccard_join.signatures(b, num, den)))
+                    for spare, small in jaccard_join.REFINE:
+                        some = [jaccard_join.subset_signatures(x, num, den, spare, small) for x in (a, b)]
+                        assert len(np.intersect1d(*some))
 
 
 def test_components(spark):

@@ -200,7 +200,7 @@ def _compare(k: int, num: int, den: int):
             g, sets = g.iloc[list(own.values())], [sets[i] for i in own.values()]
             reps, weight, block = g["rep"].to_numpy(), g["w"].to_numpy(), g["block"].to_numpy()
             links = link_matrix(sets, num, den)
-            counted = links if len(np.unique(block)) == 1 else links & (block[:, None] != block[None, :])
+            counted = links if g["same"].iloc[0] else links & (block[:, None] != block[None, :])
             total = (counted * weight[None, :]).sum(1)
             root = np.full(len(g), -1)
             for i in range(len(g)):
@@ -243,7 +243,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5)
     tasks = cut(
         own.withColumn("pair", F.explode(pair))
         .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(F.xxhash64("comp", "pair.i", "pair.j")))
-        .select("task", "comp", "rep", "w", "block", "k1", "k2")
+        .select("task", "comp", "rep", "w", "block", "k1", "k2", (F.col("pair.i") == F.col("pair.j")).alias("same"))
     )
     side = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
     texts = src.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").join(side, "rep")
