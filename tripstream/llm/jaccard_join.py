@@ -3,13 +3,17 @@
 Sizes fall into bands so narrow that two linked sets lie in one band or in neighbouring ones. For a band and its
 upper neighbour the similarity bounds the number k of differing features. The feature domain is cut into k + 1
 parts, so two linked sets agree on a whole part, and the hash of a set's part is a signature. Sets that share a
-signature are candidates; exact sets are compared before anything counts as a link.
+signature are candidates; exact sets are compared before anything counts as a link. Groups of candidates that are
+too large for one comparison are divided anew by signatures of the general form: fewer parts, of which some hold
+at most a few of the k differences, each cut into smaller ones, and a signature for every subset of these that
+leaves so many out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,11 @@ BLOCK = 384
 MANY = 48
 #: So often an agreement on an empty part is backed by another division of the domain.
 DEPTH = 3
+#: A group of more than BLOCK sets is divided again, in turn by signatures that leave out so many of so many smaller parts.
+REFINE = ((1, 4), (2, 6), (3, 8))
+#: From so many differences on, sets that agree on empty subsets alone are left to chance: at spare 3 that needs more
+#: than 3 differences in each of 100 parts but one, about exp(-50).
+MOST_BACKED = 400
 #: Up to so many rows of (class, group) are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -79,6 +88,44 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+@lru_cache(64)
+def _subsets(small: int, spare: int) -> np.ndarray:
+    """A column for each subset of the small parts without `spare` of them."""
+    out = np.ones((small, len(list(combinations(range(small), spare)))), np.uint64)
+    for i, gone in enumerate(combinations(range(small), spare)):
+        out[list(gone), i] = 0
+    return out
+
+
+def subset_signatures(h: np.ndarray, num: int, den: int, spare: int, small: int) -> np.ndarray:
+    """Like signatures(), with larger ones: of k differences some part of (k + 1) / (spare + 1) has `spare` at most,
+    and then one subset of its small parts has none. An empty subset is backed by plain signatures."""
+    tops, ks = bands(num, den, 1 << max(8, (len(h) - 1).bit_length()))
+    at = int(np.searchsorted(tops, len(h)))
+    own = np.sort(mix(h, 2000 + spare))
+    value = mix(own, 6)
+    out: list[np.ndarray] = []
+    for instance in (at - 1, at):
+        if instance <= 0:
+            continue
+        k = int(ks[instance])
+        t = min(spare, k)
+        n1, n2 = -(-(k + 1) // (t + 1)), small if t else 1
+        part = (((own >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+        with np.errstate(over="ignore"):
+            sums, filled = np.zeros(n1 * n2, np.uint64), np.zeros(n1 * n2, np.uint64)
+            sums[part[first]] = np.add.reduceat(value, first)
+            filled[part[first]] = 1
+            choice = _subsets(n2, t)
+            name = mix(np.arange(n1 * choice.shape[1], dtype=np.uint64), instance * 1_000_003 + spare).reshape(n1, -1)
+            some = filled.reshape(n1, n2) @ choice > 0
+            out.append(mix(sums.reshape(n1, n2) @ choice + name, 31)[some])
+        for path in name[~some] if k < MOST_BACKED else ():
+            _signatures(own, k + 1, int(path >> np.uint64(24)), 1, out)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def _key(h: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return tuple(int(x) for x in np.array([mix(h, 21).sum(), mix(h, 22).sum()], np.uint64).view(np.int64))
@@ -87,6 +134,34 @@ def _key(h: np.ndarray) -> tuple[int, int]:
 _NOTE = "part int, kind int, ids binary, sigs binary"
 
 
+def _dealt(sigs: list[np.ndarray], nodes: list[np.ndarray], ranges: int) -> list[tuple[int, int, bytes, bytes]]:
+    """The signatures of one batch by range of value (kind 1), one node for each, and the links between nodes here (kind 2)."""
+    rows: list[tuple[int, int, bytes, bytes]] = []
+    if not sigs:
+        return rows
+    s, n = np.concatenate(sigs), np.concatenate(nodes)
+    order = np.argsort(s, kind="stable")
+    s, n = s[order], n[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    local = np.flatnonzero(n != n[first])
+    if len(local):  # linked here already: only one node of a signature goes on
+        pairs = np.unique(np.column_stack([n[first[local]], n[local]]), axis=0)
+        spot = (pairs[:, 1] % ranges).astype(np.int64)
+        for p in np.unique(spot):
+            rows.append((int(p), 2, np.ascontiguousarray(pairs[spot == p]).tobytes(), b""))
+    s, n = s[new], n[new]
+    slot = (((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(s)])) if len(s) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        names, at = np.unique(n[lo:hi], return_inverse=True)
+        size = np.uint16 if len(names) <= 65_536 else np.uint32
+        head = np.array([len(names)], np.int64).tobytes() + names.tobytes()
+        rows.append((int(slot[lo]), 1, head + at.astype(size).tobytes(), s[lo:hi].tobytes()))
+    return rows
+
+
 def _scan(k: int, num: int, den: int, ranges: int):
     """Each batch: rows of its documents (kind 0), and its signatures by range of value (kind 1), one node for each."""
 
@@ -109,31 +184,27 @@ def _scan(k: int, num: int, den: int, ranges: int):
             where = (ids % ranges).astype(np.int64)
             for p in np.unique(where):
                 rows.append((int(p), 0, np.ascontiguousarray(info[where == p]).tobytes(), b""))
-            if sigs:
-                s, n = np.concatenate(sigs), np.concatenate(nodes)
-                order = np.argsort(s, kind="stable")
-                s, n = s[order], n[order]
-                new = np.concatenate(([True], s[1:] != s[:-1]))
-                first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-                local = np.flatnonzero(n != n[first])
-                if len(local):  # linked here already: only one node of a signature goes on
-                    pairs = np.unique(np.column_stack([n[first[local]], n[local]]), axis=0)
-                    spot = (pairs[:, 1] % ranges).astype(np.int64)
-                    for p in np.unique(spot):
-                        rows.append((int(p), 2, np.ascontiguousarray(pairs[spot == p]).tobytes(), b""))
-                s, n = s[new], n[new]
-                slot = (((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    names, at = np.unique(n[lo:hi], return_inverse=True)
-                    size = np.uint16 if len(names) <= 65_536 else np.uint32
-                    head = np.array([len(names)], np.int64).tobytes() + names.tobytes()
-                    rows.append((int(slot[lo]), 1, head + at.astype(size).tobytes(), s[lo:hi].tobytes()))
+            rows += _dealt(sigs, nodes, ranges)
             yield pd.DataFrame(rows, columns=["part", "kind", "ids", "sigs"])
 
     return run
 
 
+def _rescan(k: int, num: int, den: int, ranges: int, spare: int, small: int):
+    """Each batch (text, k1, k2, comp): signatures of its sets within their groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sigs, nodes = [], []
+            for h, one, two, comp in zip(shingles(b["text"].tolist(), k), b["k1"], b["k2"], b["comp"], strict=True):
+                if len(h) and _key(h) == (one, two):  # a repeated doc_id brings other texts along
+                    sigs.append(mix(subset_signatures(h, num, den, spare, small) ^ mix(np.array([comp], np.int64).view(np.uint64), 41)))
+                    nodes.append(np.full(len(sigs[-1]), one, np.int64))
+            yield pd.DataFrame(_dealt(sigs, nodes, ranges), columns=["part", "kind", "ids", "sigs"])
+
+    return run
+
+
 _FOUND = "kind int, a long, b long, n long, k1 long, k2 long"
 
 
@@ -233,8 +304,20 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5)
     every = found.filter("kind = 0").select(F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), "n", "k1", "k2")
     classes = every.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"))
     coarse = connected_components(found.filter("kind = 1").select("a", "b"))
-    # groups of at most BLOCK sets are bundled; larger ones are compared block by block
     members = cut(classes.join(coarse.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1"))
+    for spare, small in REFINE:
+        large = members.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("comp")
+        inside = cut(members.join(large, "comp", "left_semi"))
+        rows = inside.count()
+        if not rows:
+            break
+        side = inside.select("rep", "k1", "k2", "comp")
+        again = src.filter("doc_id is not null").join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, F.col("doc_id") == F.col("rep"))
+        blobs = again.select("text", "k1", "k2", "comp").mapInPandas(_rescan(shingle, num, den, ranges, spare, small), _NOTE)
+        finer = connected_components(cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND)).select("a", "b"))
+        divided = inside.drop("comp").join(finer.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1").select(members.columns)
+        members = cut(members.join(large, "comp", "left_anti").select(members.columns).union(divided))
+    # groups of at most BLOCK sets are bundled; larger ones are compared block by block
     sizes = members.groupBy("comp").agg(F.count("*").alias("m")).filter("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     bundles = max(1, members.count() // 128)
