@@ -1,10 +1,13 @@
 """The corpus operators against brute force, and on nulls, ties, repeats, empty tables and clashing columns."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -215,6 +218,20 @@ def test_secrets(spark):
     assert secrets.secret_scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_compressed_layers_directly_inside_one_another():
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    x, y = b"a password=abcdefghij z", b"b token=klmnopqrst z"
+    pair = gzip.compress(x) + gzip.compress(y)
+    raws = [gzip.compress(zlib.compress(x)), gzip.compress(gzip.compress(x)), zlib.compress(bz2.compress(lzma.compress(x))), pair[: len(pair) - 9]]
+    raws += [gzip.compress(b"\xff\xfe\x00 none") + gzip.compress(y), gzip.compress(b"none") + bz2.compress(x), gzip.compress(b"none") + x]
+    raws += [gzip.compress(x[:8]) + gzip.compress(x[8:]), gzip.compress(b64(gzip.compress(gzip.compress(y))).encode())]
+    for raw in raws:
+        text = f"see {b64(raw)} end"
+        assert secrets.redacted(text) == "see [SECRET] end" and (4, 0, len(text) - 4) in secrets.find(text)[1]
+    assert secrets.redacted("see " + "".join(f"%{c:02x}" for c in raws[1])) == "see [SECRET]"
+    assert list(secrets._inflated(gzip.compress(gzip.compress(x)) + gzip.compress(y))) and secrets.find("BZh91AY x^2 x^2x^2x^2x^2x^2x^2x^2")[1] == []
+
+
 def test_html():
     page = html_text.Page('<title>x</title><nav><ul><li>a</ul></nav><div class="ad">Buy</div><article><h1>T &amp; U</h1><p><b>One\n two<br><p>Three<div id="comments"><p>n</p></div><p>caf&eacute;</article><footer>f')
     assert page.text() == "T & U\nOne two\nThree\ncafé"

@@ -48,15 +48,31 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw)
-        if raw[:1] == b"x":
-            return zlib.decompressobj().decompress(raw)
-        return bz2.decompress(raw) if raw[:3] == b"BZh" else lzma.decompress(raw)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
+def _members(raw: bytes) -> list[bytes]:
+    """What compressed members that follow each other hold, each and as one, and the bytes after them; of a cut one what it still has."""
+    got = []
+    while raw.startswith(_MAGIC):
+        tool = lzma.LZMADecompressor() if raw[:1] == b"\xfd" else bz2.BZ2Decompressor() if raw[:1] == b"B" else zlib.decompressobj(47)
+        try:
+            got.append(tool.decompress(raw))
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            break
+        raw = tool.unused_data if tool.eof else b""
+        raw = raw.lstrip(b"\0")  # members may be padded
+    return [x for x in (*got, b"".join(got) if len(got) > 1 else b"", raw if got else b"") if x]
+
+
+def _inflated(raw: bytes) -> Iterator[str]:
+    """The texts in compressed bytes, also where one compressed layer lies directly in another; a value met before is not opened again."""
+    met, work = {raw}, _members(raw)
+    while work:
+        new = work.pop()
+        if new in met:
+            continue
+        met.add(new)
+        work += _members(new)
+        if (text := _readable(new)) is not None:
+            yield text
 
 
 def _readable(raw: bytes) -> str | None:
@@ -143,8 +159,8 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
             yield new
         for m in _URL.finditer(text):
             raw = bytes.fromhex(m[0].replace("%", ""))
-            if raw.startswith(_MAGIC) and (got := _inflate(raw)) and (inner := _readable(got)):
-                lo, hi = layer.span(m.start(), m.end())
+            lo, hi = layer.span(m.start(), m.end())
+            for inner in _inflated(raw):
                 yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
     if "\\" in text and (new := _replaced(layer, _ESCAPE, _escape)) is not None:
         yield new
@@ -161,10 +177,10 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
                 raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if raw.startswith(_MAGIC) and (got := _inflate(raw)) and (inner := _readable(got)):
+            for inner in _inflated(raw):
                 lo, hi = layer.span(m.start(), m.end())
                 yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
-            elif (inner := _readable(raw)) is not None:
+            if (inner := _readable(raw)) is not None:
                 lo, hi = layer.ends()
                 starts, stops = _characters(raw, inner, 1)
                 starts = m.start() + np.array(starts) * 4 // 3
