@@ -232,6 +232,28 @@ def test_secrets_in_compressed_layers_directly_inside_one_another():
     assert list(secrets._inflated(gzip.compress(gzip.compress(x)) + gzip.compress(y))) and secrets.find("BZh91AY x^2 x^2x^2x^2x^2x^2x^2x^2")[1] == []
 
 
+@pytest.mark.parametrize("stop, width", [("\n", 76), ("\r\n  ", 64), (" \n\t", 20), ("\\n", 64), ("\\r\\n", 76)])
+def test_secrets_in_wrapped_base64(stop, width):
+    rng = random.Random(5)
+    x = " ".join(f"some w{rng.random()}" for _ in range(40)) + " password=abcdefghij and " + " ".join(f"w{rng.random()}" for _ in range(9)) + " token=klmnopqrst"
+    for raw in (gzip.compress(x.encode()), x.encode()):
+        for first in (width, width - 7):
+            whole = base64.b64encode(raw).decode()
+            lines = stop.join([whole[:first], *(whole[i : i + width] for i in range(first, len(whole), width))])
+            for before, after in (("see: ", " end"), ("BEGIN-----" + stop, stop + "-----END"), ("a\nword" + stop, stop + "The end"), ("", "")):
+                text = before + lines + after
+                spans = [(a, b) for a, k, b in secrets.find(text)[1] if k == 0]
+                if raw[0] == 0x1F:
+                    assert (len(before), len(before) + len(lines)) in spans
+                else:
+                    for secret in (b"password=abcdefghij", b"token=klmnopqrst"):
+                        at = raw.index(secret)
+                        place = [i for i, c in enumerate(lines, len(before)) if c.isalnum() or c in "+/"] if "\\" not in stop else None
+                        if place:
+                            assert (place[at * 4 // 3], place[-(-(at + len(secret)) * 4 // 3) - 1] + 1) in spans
+                    assert len(secrets.redacted(text)) < len(text) and len(spans) >= 2
+
+
 def test_html():
     page = html_text.Page('<title>x</title><nav><ul><li>a</ul></nav><div class="ad">Buy</div><article><h1>T &amp; U</h1><p><b>One\n two<br><p>Three<div id="comments"><p>n</p></div><p>caf&eacute;</article><footer>f')
     assert page.text() == "T & U\nOne two\nThree\ncafé"

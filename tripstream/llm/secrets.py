@@ -32,6 +32,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|(\\x[0-9A-Fa-f]{2})+")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: Runs over line breaks, also those written \\n, with blanks around; the least length holds for all lines together.
+_BLOCK64 = tuple(
+    (re.compile(rf"(?:(?<![\\{a}])|(?<=\\n)|(?<=\\)(?!n))[{a}]++(?:[\x20\t]*+(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t]*+[{a}]++)++={{0,2}}"), re.compile(rf"[{a}]+(?:=+\Z)?|\\r|\\n"))
+    for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")
+)
+#: No block of lines without it; quick to search.
+_JOINT = re.compile(r"[\r\n\\](?<=[A-Za-z0-9+/_\x20\t-][\r\n\\])[\r\n\\]{0,3}[rn]?[\r\n\\]?n?[\x20\t]*[A-Za-z0-9+/_-]")
 _MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00")
 
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -152,6 +159,42 @@ def _escape(run: str):
     return "".join(text), starts, stops
 
 
+def _base64(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """What may be base64, without padding, and the pieces of the text that it stands in: single runs and blocks of lines."""
+    seen = set()
+    for pattern in _BASE64:
+        for m in pattern.finditer(text):
+            if (m.span(),) not in seen:
+                seen.add((m.span(),))
+                body = m[0].rstrip("=")
+                if len(body) % 4 != 1 and not m[0].isdigit():
+                    yield body, [m.span()]
+    for chain, run in _BLOCK64 if _JOINT.search(text) else ():
+        for m in chain.finditer(text):
+            for lines in _blocks([r.span() for r in run.finditer(text, m.start(), m.end()) if r[0][0] != "\\"]):
+                if tuple(lines) not in seen:
+                    seen.add(tuple(lines))
+                    body = "".join(text[i:j] for i, j in lines).rstrip("=")
+                    if len(body) >= 16 and len(body) % 4 != 1 and not body.isdigit():
+                        yield body, lines
+
+
+def _blocks(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """All lines; and those of one length, with and without a line of another length before them and a shorter one after."""
+    yield lines
+    size = [j - i for i, j in lines]
+    a = 0
+    while a < len(lines):
+        b = a + 1
+        while b < len(lines) and size[b] == size[a]:
+            b += 1
+        for start in {a, max(a - 1, 0)}:
+            for stop in {b, min(b + 1, len(lines)) if b < len(lines) and size[b] < size[a] else b}:
+                if stop - start > 1:
+                    yield lines[start:stop]
+        a = b
+
+
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
     if "%" in text:
@@ -164,28 +207,21 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
                 yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
     if "\\" in text and (new := _replaced(layer, _ESCAPE, _escape)) is not None:
         yield new
-    seen = set()
-    for pattern in _BASE64:
-        for m in pattern.finditer(text):
-            if (m.start(), m.end()) in seen or m[0].isdigit():
-                continue
-            seen.add((m.start(), m.end()))
-            body = m[0].rstrip("=")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            for inner in _inflated(raw):
-                lo, hi = layer.span(m.start(), m.end())
-                yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
-            if (inner := _readable(raw)) is not None:
-                lo, hi = layer.ends()
-                starts, stops = _characters(raw, inner, 1)
-                starts = m.start() + np.array(starts) * 4 // 3
-                stops = m.start() + np.minimum(-(-np.array(stops) * 4 // 3), len(m[0])) - 1
-                yield _Layer(inner, lo[starts], hi[stops])
+    for body, pieces in _base64(text):
+        try:
+            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+        except (binascii.Error, ValueError):
+            continue
+        for inner in _inflated(raw):
+            lo, hi = layer.span(pieces[0][0], pieces[-1][1])
+            yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
+        if (inner := _readable(raw)) is not None:
+            lo, hi = layer.ends()
+            at = np.concatenate([np.arange(i, j) for i, j in pieces])
+            starts, stops = _characters(raw, inner, 1)
+            starts = at[np.array(starts) * 4 // 3]
+            stops = at[np.minimum(-(-np.array(stops) * 4 // 3), len(at)) - 1]
+            yield _Layer(inner, lo[starts], hi[stops])
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
