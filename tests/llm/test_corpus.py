@@ -267,6 +267,15 @@ def test_site_templates_go_and_articles_stay(spark):
     assert got == {**{i: f"text {i}" for i in range(8)}, 9: "Site motto\nz", 10: "", None: ""}
 
 
+def test_counts_decide_before_tags_and_words(spark):
+    long = " ".join(f"word{j}" for j in range(60))
+    row = lambda i, html: (i, f"http://h.org/{i}", html)
+    rows = [row(i, f"<article class='comment'>Teaser {i}</article><div class='content share'>{long} {i}</div><form><div>Box</div></form>") for i in range(6)]
+    rows += [row(6, f"<form><p>{long} six</p><div>Box</div></form>"), row(7, "<article><p>Text 7</p><div>Box</div></article><p>More 7</p><nav>n 7</nav><div class='ad'>Buy 7</div>")]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Teaser {i}\n{long} {i}" for i in range(6)}, 6: f"{long} six", 7: "Text 7\nMore 7"}
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow"}
     urls = ["http://a.NET/x", "https://www.example.net/en/1", "http://example.net/de/", "http://notexample.net/en/", None, "no scheme", "ftp://a.org?x=1#y", "http://q.net"]

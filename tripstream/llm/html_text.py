@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -33,8 +33,12 @@ BLOCK = {
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main",
     "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Never part of the article.
+#: Set aside after the templates went.
 DROP = {"nav", "header", "footer", "aside", "form", "menu", "head", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "fieldset"}
+#: But these can be around it: they stay, as elements with such a word do, if they have the larger part of what the counts left,
+#: and so many characters.
+MAY_HOLD = {"header", "form", "dialog", "fieldset"}
+LEAST_MAIN = 200
 #: Class, id and role words of the same kinds.
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation",
@@ -42,79 +46,82 @@ DROP_WORDS = {
     "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "comment", "comments",
     "disqus", "replies", "related", "widget", "search", "login",
 }
-#: These can be site templates; paragraphs, headings and the article itself cannot.
+#: These can be site templates; paragraphs and headings cannot.
 UNITS = {"div", "section", "ul", "ol", "dl", "table", "aside", "nav", "header", "footer", "form", "menu", "figure", "center", "details"}
 #: A start tag on the left closes an open element on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLANK = re.compile(r"\s+")
 
 
-def _dropped(name: str, attributes: str) -> bool:
+def _mark(name: str, attributes: str) -> int:
+    """2 for what is never text of the page, 1 for what may be set aside, or 0."""
     if name in DROP:
-        return True
+        return 1 if name in MAY_HOLD else 2
     if name in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
-        return False
+        return 0
     words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(DROP_WORDS)
+    return int(not words.isdisjoint(DROP_WORDS))
 
 
 class Page:
-    """Text pieces in page order, each with the subtrees that it lies in."""
+    """Text pieces in page order, and the tree of elements that they lie in.
+
+    Element 0 is the page. An element's parent has the smaller number.
+    """
 
     def __init__(self, html: str | None):
-        self.pieces: list[tuple[int, str | None, tuple[int, ...]]] = []
-        self.units: dict[int, str] = {}
-        self._marks: list[tuple[int, int]] = []
-        self.article = False
+        self.out: list[tuple[str | None, int]] = []  # text or None for a break, innermost element
+        self.parent, self.names, self.marks, self.hashes = [0], [""], [0], [None]
         html = html or ""
-        stack: list[tuple[str, bool, int]] = []  # name, dropped, unit (or 0)
-        out: list[tuple[str | None, tuple[int, ...], bool]] = []  # text or None for a break, units, inside an article
-        log: list[str] = []  # what subtrees are hashed from
-        open_units: dict[int, int] = {}
-        units: tuple[int, ...] = ()
-        dropped = inside = 0
-        at = count = 0
+        stack: list[int] = []
+        log: list[list[bytes]] = [[]]  # what open subtrees are hashed from
+        holds = [False]  # whether they have text
+        out, names = self.out, self.names
+        now = at = 0
         end = len(html)
 
         def close(to: int) -> None:
-            nonlocal dropped, inside, units
+            nonlocal now
             while len(stack) > to:
-                name, bad, unit = stack.pop()
-                dropped -= bad
-                inside -= name in ("article", "main")
-                log.append(f"</{name}>")
-                if unit:
-                    self.units[unit] = "".join(log[open_units.pop(unit) :])
-                    units = units[:-1]
-                if name in BLOCK:
-                    out.append((None, units, False))
+                e = stack.pop()
+                now = self.parent[e]
+                inner, some = blake2b(b"%s\0%s" % (names[e].encode("utf-8", "surrogatepass"), b"".join(log.pop())), digest_size=8).digest(), holds.pop()
+                log[-1] += (b"\0", inner)
+                holds[-1] |= some
+                if some and names[e] in UNITS:
+                    self.hashes[e] = int.from_bytes(inner, "little", signed=True)
+                if names[e] in BLOCK:
+                    out.append((None, now))
 
         while at < end:
             m = _TOKEN.search(html, at)
             stop = m.start() if m else end
             if stop > at:
                 text = html[at:stop]
-                log.append(_BLANK.sub(" ", text))
-                if not dropped:
-                    out.append((text, units, inside > 0))
+                log[-1].append(_BLANK.sub(" ", text).encode("utf-8", "surrogatepass"))
+                holds[-1] |= not text.isspace()
+                out.append((text, now))
             if not m:
                 break
             at = m.end()
             if not m[2]:
-                if m[0].startswith("<![CDATA[") and not dropped:
-                    out.append((m[0][9:].removesuffix("]]>").replace("&", "&amp;"), units, inside > 0))
+                if m[0].startswith("<![CDATA["):
+                    text = m[0][9:].removesuffix("]]>").replace("&", "&amp;")
+                    log[-1].append(_BLANK.sub(" ", text).encode("utf-8", "surrogatepass"))
+                    holds[-1] |= bool(text.strip())
+                    out.append((text, now))
                 continue
             name = m[2].lower()
             if not m[0].endswith(">"):  # cut off in a tag
                 break
             if m[1]:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if names[stack[i]] == name:
                         close(i)
                         break
                 else:
                     if name in BLOCK:
-                        out.append((None, units, False))
+                        out.append((None, now))
                 continue
             if name in RAW:
                 ends = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -122,54 +129,55 @@ class Page:
                 continue
             if name in VOID:
                 if name in BLOCK:
-                    out.append((None, units, False))
+                    out.append((None, now))
                 continue
             if name in BLOCK:
                 # a block ends an open paragraph, with whatever is open inside it
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
+                    if names[stack[i]] == "p":
                         close(i)
                         break
-                    if stack[i][0] in BLOCK:
+                    if names[stack[i]] in BLOCK:
                         break
-            if name in _CLOSES and stack and stack[-1][0] in _CLOSES[name]:
+            if name in _CLOSES and stack and names[stack[-1]] in _CLOSES[name]:
                 close(len(stack) - 1)
-            bad = _dropped(name, m[3])
-            unit = 0
-            if name in UNITS:
-                count += 1
-                unit = count
-                open_units[unit] = len(log)
-                units = (*units, unit)
-            stack.append((name, bad, unit))
-            dropped += bad
-            inside += name in ("article", "main")
-            log.append(f"<{name}>")
+            self.parent.append(now)
+            names.append(name)
+            self.marks.append(_mark(name, m[3]))
+            self.hashes.append(None)
+            now = len(names) - 1
+            stack.append(now)
+            log.append([])
+            holds.append(False)
             if name in BLOCK:
-                out.append((None, units, False))
+                out.append((None, now))
         close(0)
-        self.out = out
-        self.hashes = {u: zlib.crc32(s.encode("utf-8", "surrogatepass")) << 32 | zlib.adler32(s.encode("utf-8", "surrogatepass")) for u, s in self.units.items()}
-        holds = {u for text, us, within in out if within and text for u in us if not self._only_within(out, u)}
-        self.candidates = {h for u, h in self.hashes.items() if u not in holds}
-
-    @staticmethod
-    def _only_within(out, unit: int) -> bool:
-        """Whether the unit lies in an article, rather than around it."""
-        return all(within for text, us, within in out if text and text.strip() and unit in us)
+        self.candidates = {h for h in self.hashes if h is not None}
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks of the article, or of the page without one, but for subtrees that are templates."""
-        gone = {u for u, h in self.hashes.items() if h in templates and h in self.candidates}
-        only = any(within and text.strip() for text, _, within in self.out if text)
+        """The page without subtrees that are templates, and then without what tags and class words set aside."""
+        gone = [False] * len(self.parent)
+        for e in range(1, len(gone)):
+            gone[e] = gone[self.parent[e]] or self.hashes[e] in templates
+        left = [(text, e) for text, e in self.out if text is None or not gone[e]]
+        size = [0] * len(gone)
+        for text, e in left:
+            if text is not None:
+                size[e] += len(text.strip())
+        for e in range(len(gone) - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+        for e in range(1, len(gone)):
+            mark = self.marks[e]
+            # the larger part of a page, if it is more than a few lines, is no aside whatever its name
+            gone[e] = gone[self.parent[e]] or mark == 2 or (mark == 1 and (size[e] < LEAST_MAIN or 2 * size[e] <= size[0]))
         blocks, now = [], []
-        for text, units, within in [*self.out, (None, (), False)]:
+        for text, e in [*left, (None, 0)]:
             if text is None:
                 line = _BLANK.sub(" ", unescape("".join(now))).strip() if now else ""
                 if line:
                     blocks.append(line)
                 now = []
-            elif (within or not only) and (not gone or gone.isdisjoint(units)):
+            elif not gone[e]:
                 now.append(text)
         return "\n".join(blocks)
 
@@ -185,8 +193,8 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, html in zip(b["host"], b["html"], strict=True):
             page = Page(html)
-            body = zlib.crc32(page.text().encode("utf-8", "surrogatepass"))
-            rows += [(host, int(np.uint64(h).astype(np.int64)), body) for h in page.candidates] + [(host, None, body)]
+            body = int.from_bytes(blake2b(page.text().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            rows += [(host, h, body) for h in page.candidates] + [(host, None, body)]
         hosts, subtrees, bodies = zip(*rows, strict=True) if rows else ((), (), ())
         yield pd.DataFrame({"host": hosts, "subtree": pd.array(subtrees, "Int64"), "body": np.array(bodies, np.int64)})
 
@@ -205,7 +213,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         text = [
-            Page(html).text(set() if known is None else {int(np.int64(x).astype(np.uint64)) for x in known})
+            Page(html).text(set() if known is None else {int(x) for x in known})
             for html, known in zip(b["html"], b["subtrees"], strict=True)
         ]
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}).astype({"page_id": "Int64"})
