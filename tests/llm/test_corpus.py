@@ -276,6 +276,18 @@ def test_counts_decide_before_tags_and_words(spark):
     assert got == {**{i: f"Teaser {i}\n{long} {i}" for i in range(6)}, 6: f"{long} six", 7: "Text 7\nMore 7"}
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_templates_on_few_of_a_hosts_pages_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", broadcast)
+    box = lambda i: f"<div>Box {i % 20}</div>" if i % 20 else "<div>Own</div>" if i < 80 else ""
+    rows = [(i, f"http://big.org/{i}", f"<p>text {i}</p>{box(i)}") for i in range(120)] + [(i, "http://small.org/", f"<p>text {i}</p><div>Box 1</div>") for i in range(200, 204)]
+    rows += [rows[1], (300, None, None), (None, "x", "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id or -1, r.text) for r in html_text.main_text(frame).collect())
+    left = lambda i: f"text {i}\nOwn" if i in (0, 20, 40, 60) else f"text {i}\nBox 1" if i >= 200 else f"text {i}"
+    assert got == sorted([*((i, left(i)) for i in (*range(120), *range(200, 204), 1) if i), (300, ""), (-1, ""), (-1, left(0))])
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow"}
     urls = ["http://a.NET/x", "https://www.example.net/en/1", "http://example.net/de/", "http://notexample.net/en/", None, "no scheme", "ftp://a.org?x=1#y", "http://q.net"]

@@ -7,18 +7,17 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, pick
 
-#: A subtree belongs to the site if it is on so many of a host's distinct pages, and on this share of them.
+#: A subtree belongs to the site if it is on so many of a host's distinct pages.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.2
-#: Up to so many template hashes are broadcast; beyond it, the join shuffles.
+#: Up to so many templates are broadcast; beyond it, they are joined by shuffle, those of one key in so many parts.
 BROADCAST_ROWS = 200_000
+SALTS = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -194,40 +193,53 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, html in zip(b["host"], b["html"], strict=True):
             page = Page(html)
             body = int.from_bytes(blake2b(page.text().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            rows += [(host, h, body) for h in page.candidates] + [(host, None, body)]
-        hosts, subtrees, bodies = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pd.DataFrame({"host": hosts, "subtree": pd.array(subtrees, "Int64"), "body": np.array(bodies, np.int64)})
+            rows += [(host, h, body) for h in page.candidates]
+        yield pd.DataFrame(rows, columns=["host", "subtree", "body"]).astype({"subtree": "int64", "body": "int64"})
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtrees) for hosts with templates. Copies of a page count once, so that a copied article is no template."""
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, subtree) of the templates. Copies of a page count once, so that a copied article is no template."""
     seen = pages.mapInPandas(_subtrees, "host string, subtree long, body long")
     # a host that holds a third of all pages is dealt by page as well, counted, and only then gathered
-    seen = cut(seen.distinct().groupBy("host", "subtree", F.pmod("body", F.lit(64)).alias("salt")).agg(F.count("*").alias("n")))
-    counts = seen.groupBy("host", "subtree").agg(F.sum("n").alias("n"))
-    every = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
-    some = counts.filter("subtree is not null").join(every, "host").filter((F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("pages")))
-    return some.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    seen = seen.distinct().groupBy("host", "subtree", F.pmod("body", F.lit(64)).alias("salt")).agg(F.count("*").alias("n"))
+    return seen.groupBy("host", "subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pages).select("host", "subtree")
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        text = [
-            Page(html).text(set() if known is None else {int(x) for x in known})
-            for html, known in zip(b["html"], b["subtrees"], strict=True)
-        ]
-        yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}).astype({"page_id": "Int64"})
+        rows = [(host, key, h) for host, key, html in zip(b["host"], b["key"], b["html"], strict=True) for h in Page(html).candidates]
+        yield pd.DataFrame(rows, columns=["host", "key", "subtree"]).astype({"subtree": "int64"})
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def _on_page(src: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, key, subtrees) of pages (host, key, html) with templates: a list is no longer than its page."""
+    # a subtree of all pages of a hot host meets its template in SALTS places; copies of a page are one before that
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = src.mapInPandas(_places, "host string, key string, subtree long").distinct().withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return places.join(dealt, ["host", "subtree", "salt"]).groupBy("host", "key").agg(F.collect_set("subtree").alias("subtrees"))
+
+
+def _texts(b: pd.DataFrame, known) -> pd.DataFrame:
+    text = [Page(html).text(gone) for html, gone in zip(b["html"], known, strict=True)]
+    return pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}).astype({"page_id": "Int64"})
+
+
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     A null or empty html has an empty text. Pages whose url is null or has no host form one site without name.
-    Repeated rows are extracted alike. The templates of a host number at most its pages' subtrees over
-    least_share, so that the list beside each page is bounded by a page's size.
+    Repeated rows are extracted alike. How many templates a host has does not matter: few are broadcast,
+    many are joined by (host, subtree), and each page gets those that stand on it.
     """
     src = pick(pages, page_id="long", url="string", html="string").withColumn("host", host_of(F.col("url")))
-    known = cut(templates(src.select("host", "html"), least_pages, least_share))
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    both = src.join(side, "host", "left").select("page_id", "url", "html", "subtrees")
-    return both.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    known = cut(templates(src.select("host", "html"), least_pages))
+    out = "page_id long, url string, text string, n_chars long"
+    if known.count() <= BROADCAST_ROWS:
+        of_host: dict[str, set[int]] = {}
+        for host, subtree in known.collect():
+            of_host.setdefault(host, set()).add(subtree)
+        held = pages.sparkSession.sparkContext.broadcast(of_host)
+        return src.mapInPandas(lambda batches: (_texts(b, [held.value.get(host, ()) for host in b["host"]]) for b in batches), out)
+    src = src.withColumn("key", F.md5("html"))
+    both = src.join(_on_page(src.select("host", "key", "html"), known), ["host", "key"], "left").select("page_id", "url", "html", "subtrees")
+    return both.mapInPandas(lambda batches: (_texts(b, [() if x is None else {int(h) for h in x} for x in b["subtrees"]]) for b in batches), out)
