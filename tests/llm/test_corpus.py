@@ -288,6 +288,15 @@ def test_templates_on_few_of_a_hosts_pages_go(spark, monkeypatch, broadcast):
     assert got == sorted([*((i, left(i)) for i in (*range(120), *range(200, 204), 1) if i), (300, ""), (-1, ""), (-1, left(0))])
 
 
+def test_every_kind_of_element_is_counted(spark):
+    boxes = ["<p>Para</p>", "<h3>Head</h3>", "<li>Item</li>", "<span>Span</span>", "<a>One</a> | <a>Two</a>", "<blockquote>Quote</blockquote>", "<pre>Pre</pre>", "<dialog>Dia</dialog>"]
+    page = lambda i: f"<body>{''.join(boxes)}<article>{boxes[0]}<h1>Title {i}</h1><p>In <b>Paris</b> on day {i}.</p>{''.join(boxes)}</article></body>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(8)] + [(i, "http://other.org/", page(8)) for i in range(8, 20)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nIn Paris on day {i}." for i in range(8))
+    assert all("Para\nHead\nItem\nSpanOne | Two\nQuote\nPre\n" in got[i] and "In Paris on day 8." in got[i] for i in range(8, 20))
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow"}
     urls = ["http://a.NET/x", "https://www.example.net/en/1", "http://example.net/de/", "http://notexample.net/en/", None, "no scheme", "ftp://a.org?x=1#y", "http://q.net"]

@@ -45,8 +45,6 @@ DROP_WORDS = {
     "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "comment", "comments",
     "disqus", "replies", "related", "widget", "search", "login",
 }
-#: These can be site templates; paragraphs and headings cannot.
-UNITS = {"div", "section", "ul", "ol", "dl", "table", "aside", "nav", "header", "footer", "form", "menu", "figure", "center", "details"}
 #: A start tag on the left closes an open element on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLANK = re.compile(r"\s+")
@@ -87,7 +85,7 @@ class Page:
                 inner, some = blake2b(b"%s\0%s" % (names[e].encode("utf-8", "surrogatepass"), b"".join(log.pop())), digest_size=8).digest(), holds.pop()
                 log[-1] += (b"\0", inner)
                 holds[-1] |= some
-                if some and names[e] in UNITS:
+                if some:
                     self.hashes[e] = int.from_bytes(inner, "little", signed=True)
                 if names[e] in BLOCK:
                     out.append((None, now))
@@ -154,11 +152,26 @@ class Page:
         self.candidates = {h for h in self.hashes if h is not None}
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """The page without subtrees that are templates, and then without what tags and class words set aside."""
-        gone = [False] * len(self.parent)
+        """The page without subtrees that are templates, and then without what tags and class words set aside.
+
+        An inline element that is a template goes with all else on its line, so that no sentence loses a word.
+        """
+        gone, loose = [False] * len(self.parent), [False] * len(self.parent)
         for e in range(1, len(gone)):
-            gone[e] = gone[self.parent[e]] or self.hashes[e] in templates
-        left = [(text, e) for text, e in self.out if text is None or not gone[e]]
+            known = self.hashes[e] in templates
+            gone[e] = gone[self.parent[e]] or (known and self.names[e] in BLOCK)
+            loose[e] = loose[self.parent[e]] or known
+        left, line = [], []
+        for text, e in [*self.out, (None, 0)]:
+            if text is not None:
+                if not gone[e]:
+                    line.append((text, e))
+                continue
+            # signs between templates go with them
+            if not any(loose[e] for _, e in line) or any(not loose[e] and any(map(str.isalnum, unescape(text))) for text, e in line):
+                left += line
+            line = []
+            left.append((None, e))
         size = [0] * len(gone)
         for text, e in left:
             if text is not None:
@@ -170,7 +183,7 @@ class Page:
             # the larger part of a page, if it is more than a few lines, is no aside whatever its name
             gone[e] = gone[self.parent[e]] or mark == 2 or (mark == 1 and (size[e] < LEAST_MAIN or 2 * size[e] <= size[0]))
         blocks, now = [], []
-        for text, e in [*left, (None, 0)]:
+        for text, e in left:
             if text is None:
                 line = _BLANK.sub(" ", unescape("".join(now))).strip() if now else ""
                 if line:
