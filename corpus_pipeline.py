@@ -27,14 +27,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays.
+    Rows are kept or dropped one by one: rows that repeat a doc_id, or have none (these come last), as any other.
     """
-    groups = jaccard_join(docs, shingle=5, num=4, den=5)
-    keep = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id")
-    keep = cut(keep)
-    repeated = keep.filter("n > 1").limit(1).count()
-    kept = docs.join(keep.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).union(docs.filter(docs["doc_id"].isNull()))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if not ids.limit(1).count():
+        groups = jaccard_join(docs, shingle=5, num=4, den=5)
+        keep = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
+        return docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = cut(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    groups = jaccard_join(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5)
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row")
+    known = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", doc_id), "row")
+    keep = cut(known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
+    return rows.join(keep, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

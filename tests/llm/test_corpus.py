@@ -337,3 +337,15 @@ def test_pipeline_runs_stage_by_stage(spark):
     clean = corpus_pipeline.secret_stage(spark, kept, "")
     assert {r.text for r in clean.collect() if r.doc_id == 0} == {"a b c d e f [SECRET]"} and clean.columns == some.columns
     assert corpus_pipeline.mixing_stage(spark, clean, "").columns == some.columns
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    rows = [(1, "one quite different text of some words"), (1, "another text that stands for itself here"), (3, near()), (3, near(1)), (2, near(2)), (None, near(3)), (None, "no id but own words"), (None, "no id but own words")]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, (spark.createDataFrame([rows[i] for i in (0, 1, 4, 6)], "doc_id long, text string").collect())))
+    got = jaccard_join.jaccard_join(spark.createDataFrame([(3, near()), (3, near(1)), (4, near(2))], "doc_id long, text string"), 5, 4, 5).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(3, 3, 2), (3, 3, 2), (4, 3, 2)]

@@ -267,9 +267,9 @@ def _compare(k: int, num: int, den: int):
         for _, g in group.groupby("comp", sort=False):
             sets = list(shingles(g["text"].tolist(), k))
             # a repeated doc_id brings other texts along, or the same again
-            own = {r: i for i, (r, *key) in enumerate(zip(g["rep"], g["k1"], g["k2"], strict=True)) if _key(sets[i]) == tuple(key)}
+            own = {key: i for i, key in enumerate(zip(g["k1"], g["k2"], strict=True)) if _key(sets[i]) == key}
             g, sets = g.iloc[list(own.values())], [sets[i] for i in own.values()]
-            reps, weight, block = g["rep"].to_numpy(), g["w"].to_numpy(), g["block"].to_numpy()
+            nodes, weight, block = g["k1"].to_numpy(), g["w"].to_numpy(), g["block"].to_numpy()
             links = link_matrix(sets, num, den)
             counted = links if g["same"].iloc[0] else links & (block[:, None] != block[None, :])
             total = (counted * weight[None, :]).sum(1)
@@ -280,8 +280,8 @@ def _compare(k: int, num: int, den: int):
                     while len(front):
                         inside[front] = True
                         front = np.flatnonzero(links[front].any(0) & ~inside)
-                    root[inside] = np.flatnonzero(inside)[np.argmin(reps[inside])]
-            out.append(pd.DataFrame({"a": reps, "b": reps[root], "links": total}))
+                    root[inside] = np.flatnonzero(inside)[np.argmin(nodes[inside])]
+            out.append(pd.DataFrame({"a": nodes, "b": nodes[root], "links": total}))
         return pd.concat(out)
 
     return run
@@ -333,10 +333,11 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5)
     links = cut(texts.groupBy("task").applyInPandas(_compare(shingle, num, den), _LINKS))
     final = connected_components(links.filter("a != b").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
+    linked = classes.join(counts.withColumnRenamed("a", "k1"), "k1", "left").join(final.withColumnRenamed("node", "k1"), "k1", "left")
+    least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     result = (
-        classes.join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        .filter("w > 1 or root is not null")
-        .select("k1", "k2", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
+        linked.join(least, "root", "left").filter("w > 1 or root is not null")
+        .select("k1", "k2", "n", F.coalesce("least", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
     )
     known = every.join(result, ["k1", "k2", "n"], "left")
     return known.select(
