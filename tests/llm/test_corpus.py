@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, toxicity, url_filter
-from tripstream.llm.components import connected_components
+from tripstream.llm.components import connected_components, forest, spanned
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, task int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +55,10 @@ def test_jaccard_join_is_exact(spark, texts, monkeypatch, k, num, den, block):
         root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(sets))]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(docs(spark, texts), k, num, den).collect()}
     assert got == {i: (len(s), root[i], len(links[i])) for i, s in enumerate(sets)}
+    if block < 384:
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, texts), k, num, den, count_links=False).collect()}
+        assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
 def test_jaccard_join_blocks_are_exact(spark, monkeypatch):
@@ -66,6 +70,42 @@ def test_jaccard_join_blocks_are_exact(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and [r.n_links for r in sorted(got)] == [sum(10 * len(s & t) >= 9 * len(s | t) for t in sets) - 1 for s in sets]
 
 
+def test_large_groups_without_counted_links(spark, monkeypatch):
+    # one group of candidates: two trees of links, sets in none, and no pivot that reaches all
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "REFINE", ())
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(12)]
+    some = []
+    for tree in range(3):
+        base = [f"t{tree}w{i}" for i in range(60)]
+        some += [" ".join(shared + [f"y{rng.random()}" if i == j else w for i, w in enumerate(base)]) for j in range(0, 60, 3)]
+    some += [" ".join(shared + [f"z{j}x{i}" for i in range(50)]) for j in range(30)]
+    rng.shuffle(some)
+    sets = list(shingle_sets(some, 3))
+    root = list(range(len(sets)))
+    for _ in range(4):
+        root = [min([root[i], *(root[j] for j in range(len(sets)) if 10 * len(s & sets[j]) >= 8 * len(s | sets[j]))]) for i, s in enumerate(sets)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs(spark, some), 3, 8, 10, count_links=False).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) == 33
+
+
+def test_forest():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400):
+        a, b = rng.integers(0, n, n), rng.integers(0, n, n)
+        root = np.arange(n)
+        for _ in range(n):
+            for x, y in zip(a, b, strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        nodes, roots = forest(a, b)
+        assert (roots == root[nodes]).all()
+        tree = spanned(a, b)
+        assert len(tree) == len(nodes) - len(np.unique(roots)) and (tree[:, 0] < tree[:, 1]).all()
+    assert len(forest(np.empty(0, np.int64), np.empty(0, np.int64))[0]) == 0
+
+
 def test_jaccard_join_on_nothing_and_null_ids(spark):
     assert jaccard_join.jaccard_join(docs(spark, []), 3, 9, 10).count() == 0
     got = jaccard_join.jaccard_join(docs(spark, ["noid", "a b c", "a b c"]), 3, 9, 10).collect()
@@ -98,7 +138,7 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
-    assert {n: r for n, r in got.items() if n != 7 or 7 in root} == {n: root[n] for n in got}
+    assert got == {n: root[n] for n in got}
     assert set(got) >= {n for a, b in edges if a != b for n in (a, b)}
 
 

@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest, spanned
 from .hashing import mix, shingles
-from .shared import cut, parts, pick
+from .shared import cut, forget, parts, pick
 
 #: Sets compared in one block; larger candidate groups are compared by pairs of blocks.
 BLOCK = 384
@@ -36,8 +36,12 @@ REFINE = ((1, 4), (2, 6), (3, 8))
 #: From so many differences on, sets that agree on empty subsets alone are left to chance: at spare 3 that needs more
 #: than 3 differences in each of 100 parts but one, about exp(-50).
 MOST_BACKED = 400
-#: Up to so many rows of (class, group) are broadcast; beyond it, the join shuffles.
+#: Sets of a large group that every block of it meets.
+PIVOTS = 64
+#: Up to so many rows of (class, group), a few numbers each, are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of text whose signatures meet in one task, about 0.6 bytes for one of these.
+RANGE_BYTES = 64_000_000
 
 
 @lru_cache(64)
@@ -135,23 +139,28 @@ _NOTE = "part int, kind int, ids binary, sigs binary"
 
 
 def _dealt(sigs: list[np.ndarray], nodes: list[np.ndarray], ranges: int) -> list[tuple[int, int, bytes, bytes]]:
-    """The signatures of one batch by range of value (kind 1), one node for each, and the links between nodes here (kind 2)."""
+    """The signatures of one batch by range of value (kind 1), and a spanning forest of the nodes that share some here (kind 2).
+
+    A signature goes on once, for the smallest node of its tree in the forest: a group that fills the batch is one node from here on.
+    """
     rows: list[tuple[int, int, bytes, bytes]] = []
     if not sigs:
         return rows
     s, n = np.concatenate(sigs), np.concatenate(nodes)
     order = np.argsort(s, kind="stable")
     s, n = s[order], n[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    local = np.flatnonzero(n != n[first])
-    if len(local):  # linked here already: only one node of a signature goes on
-        pairs = np.unique(np.column_stack([n[first[local]], n[local]]), axis=0)
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    with_next = np.flatnonzero(~new)
+    known, roots = forest(n[with_next - 1], n[with_next])
+    if len(known):
+        pairs = np.column_stack([roots, known])[roots != known]
         spot = (pairs[:, 1] % ranges).astype(np.int64)
         for p in np.unique(spot):
             rows.append((int(p), 2, np.ascontiguousarray(pairs[spot == p]).tobytes(), b""))
     s, n = s[new], n[new]
+    if len(known):
+        at = np.minimum(np.searchsorted(known, n), len(known) - 1)
+        n = np.where(known[at] == n, roots[at], n)
     slot = (((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
     cuts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(s)])) if len(s) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -209,7 +218,7 @@ _FOUND = "kind int, a long, b long, n long, k1 long, k2 long"
 
 
 def _meet(_key, group: pd.DataFrame) -> pd.DataFrame:
-    """Documents as they are; of the nodes that share a signature, an edge from each to the first."""
+    """Documents as they are; of the nodes that share a signature, a spanning forest."""
     out = []
     for ids in group["ids"][group["kind"] == 0]:
         x = np.frombuffer(ids, np.int64).reshape(-1, 5)
@@ -226,12 +235,11 @@ def _meet(_key, group: pd.DataFrame) -> pd.DataFrame:
         s, n = np.concatenate(sigs), np.concatenate(nodes)
         order = np.argsort(s, kind="stable")
         s, n = s[order], n[order]
-        first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0))
-        more = np.flatnonzero(n != n[first])
-        if len(more):
-            pairs.append(np.column_stack([n[first[more]], n[more]]))
+        more = np.flatnonzero((s[1:] == s[:-1]) & (n[1:] != n[:-1]))
+        pairs.append(np.column_stack([n[more], n[more + 1]]))
     if pairs:
-        x = np.unique(np.concatenate(pairs), axis=0)
+        x = np.concatenate(pairs)
+        x = spanned(x[:, 0], x[:, 1])
         out.append(pd.DataFrame({"kind": 1, "a": x[:, 0], "b": x[:, 1], "n": 0, "k1": 0, "k2": 0}))
     return pd.concat(out) if out else pd.DataFrame(columns=["kind", "a", "b", "n", "k1", "k2"])
 
@@ -262,6 +270,8 @@ _LINKS = "a long, b long, links long"
 
 
 def _compare(k: int, num: int, den: int):
+    """Of each group's sets, an edge from each to the smallest node that it reaches here, and its links as far as the task counts them."""
+
     def run(_task, group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in group.groupby("comp", sort=False):
@@ -273,38 +283,87 @@ def _compare(k: int, num: int, den: int):
             links = link_matrix(sets, num, den)
             counted = links if g["same"].iloc[0] else links & (block[:, None] != block[None, :])
             total = (counted * weight[None, :]).sum(1)
-            root = np.full(len(g), -1)
-            for i in range(len(g)):
-                if root[i] < 0:
-                    inside, front = np.zeros(len(g), bool), np.array([i])
-                    while len(front):
-                        inside[front] = True
-                        front = np.flatnonzero(links[front].any(0) & ~inside)
-                    root[inside] = np.flatnonzero(inside)[np.argmin(nodes[inside])]
-            out.append(pd.DataFrame({"a": nodes, "b": nodes[root], "links": total}))
+            known, roots = forest(*(nodes[x] for x in np.nonzero(links)))
+            root = nodes.copy()
+            root[np.isin(nodes, known)] = roots[np.searchsorted(known, nodes[np.isin(nodes, known)])]
+            out.append(pd.DataFrame({"a": nodes, "b": root, "links": total}))
         return pd.concat(out)
 
     return run
 
 
-def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links.
+_TASK = ("task", "comp", "rep", "w", "block", "k1", "k2", "same")
+
+
+def _bundled(members: DataFrame) -> DataFrame:
+    """Tasks of whole groups that fit one comparison, about 128 sets or one group each."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m").between(2, BLOCK))
+    bundles = max(1, members.count() // 128)
+    task = F.pmod(F.xxhash64("comp"), F.lit(bundles))
+    return members.join(sizes, "comp").select(task.alias("task"), "comp", "rep", "w", F.lit(0).alias("block"), "k1", "k2", F.lit(True).alias("same"))
+
+
+def _blocks_of(members: DataFrame, per_block: int = 0) -> DataFrame:
+    """Members of the groups that are too large for one comparison, with the number of blocks and their own."""
+    sizes = members.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK)
+    blocks = F.ceil(F.col("m") / (per_block or BLOCK)).cast("int")
+    return members.join(sizes, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+
+
+def _pairs_of_blocks(members: DataFrame) -> DataFrame:
+    """Tasks in which every block of a large group meets every other once, so that all links are counted."""
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    own = _blocks_of(members).withColumn("pair", F.explode(pair))
+    return own.withColumn("task", F.xxhash64("comp", "pair.i", "pair.j")).withColumn("same", F.col("pair.i") == F.col("pair.j")).select(*_TASK)
+
+
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Tasks of a block of a large group and the group's pivots, about PIVOTS sets that every block meets."""
+    own = _blocks_of(members, BLOCK - PIVOTS)
+    pivot = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("m") / PIVOTS)) == 0
+    own = own.withColumn("to", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    return own.withColumn("task", F.xxhash64("comp", "to")).withColumn("same", F.lit(True)).select(*_TASK)
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Tasks in which the sets of a large group that are not linked to most of it meet the whole group."""
+    joined = connected_components(links.filter("a != b").select("a", "b"))
+    own = cut(_blocks_of(members).drop("block", "blocks").join(joined.withColumnsRenamed({"node": "k1", "root": "tree"}), "k1", "left").withColumn("tree", F.coalesce("tree", "k1")))
+    forget(joined)
+    sizes = own.groupBy("comp", "tree").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("comp").agg(F.max(F.struct("n", "tree")).alias("most"), (F.sum("n") - F.max("n")).alias("others"))
+    own = own.join(most.filter("others > 0"), "comp").withColumn("most", F.col("most.tree"))
+    rows, columns = F.ceil(F.col("others") / (BLOCK // 2)).cast("int"), F.ceil(F.col("m") / (BLOCK // 2)).cast("int")
+    own = own.withColumn("i", F.pmod(F.xxhash64("rep"), rows).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep"), columns).cast("int"))
+    left = own.filter("tree != most").withColumn("j", F.explode(F.sequence(F.lit(0), columns - 1)))
+    right = own.withColumn("i", F.explode(F.sequence(F.lit(0), rows - 1)))
+    both = left.select(own.columns).union(right.select(own.columns)).dropDuplicates(["comp", "k1", "k2", "i", "j"])
+    return both.withColumn("task", F.xxhash64("comp", "i", "j")).withColumn("same", F.lit(True)).withColumn("block", F.lit(0)).select(*_TASK)
+
+
+def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, count_links: bool = True) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, and n_links if these are counted.
 
     Two documents link when the Jaccard similarity of their sets of lower-cased word shingles is num/den or more.
     component_id is the smallest doc_id reachable by links, itself included; n_links counts the documents linked.
     A null or wordless text has no shingles and no link. A row without doc_id keeps its size, has no component
     and takes no part. Rows that repeat a doc_id count as documents of their own with that id. Copies are
     compared once, as one class, however many there are.
+
+    Counting needs every pair of different texts in a group of candidates. Without it, a group of more than BLOCK
+    texts meets its pivots in blocks, and only what is not linked to most of it then meets the whole group.
     """
     spark = docs.sparkSession
     src = pick(docs, doc_id="long", text="string")
-    ranges = parts(spark)
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(parts(spark), -(-size // RANGE_BYTES))
     blobs = src.mapInPandas(_scan(shingle, num, den, ranges), _NOTE)
     found = cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND))
     every = found.filter("kind = 0").select(F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), "n", "k1", "k2")
-    classes = every.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"))
+    classes = cut(every.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w")))
     coarse = connected_components(found.filter("kind = 1").select("a", "b"))
     members = cut(classes.join(coarse.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1"))
+    forget(coarse)
     for spare, small in REFINE:
         large = members.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("comp")
         inside = cut(members.join(large, "comp", "left_semi"))
@@ -314,34 +373,34 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5)
         side = inside.select("rep", "k1", "k2", "comp")
         again = src.filter("doc_id is not null").join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, F.col("doc_id") == F.col("rep"))
         blobs = again.select("text", "k1", "k2", "comp").mapInPandas(_rescan(shingle, num, den, ranges, spare, small), _NOTE)
-        finer = connected_components(cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND)).select("a", "b"))
+        met = cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND))
+        finer = connected_components(met.select("a", "b"))
         divided = inside.drop("comp").join(finer.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1").select(members.columns)
-        members = cut(members.join(large, "comp", "left_anti").select(members.columns).union(divided))
-    # groups of at most BLOCK sets are bundled; larger ones are compared block by block
-    sizes = members.groupBy("comp").agg(F.count("*").alias("m")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    bundles = max(1, members.count() // 128)
-    own = members.join(sizes, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    tasks = cut(
-        own.withColumn("pair", F.explode(pair))
-        .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(F.xxhash64("comp", "pair.i", "pair.j")))
-        .select("task", "comp", "rep", "w", "block", "k1", "k2", (F.col("pair.i") == F.col("pair.j")).alias("same"))
-    )
-    side = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
-    texts = src.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").join(side, "rep")
-    links = cut(texts.groupBy("task").applyInPandas(_compare(shingle, num, den), _LINKS))
+        before, members = members, cut(members.join(large, "comp", "left_anti").select(members.columns).union(divided))
+        forget(before, inside, met, finer)
+    known_texts = src.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        tasks = cut(tasks)
+        side = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
+        links = cut(known_texts.join(side, "rep").groupBy("task").applyInPandas(_compare(shingle, num, den), _LINKS))
+        forget(tasks)
+        return links
+
+    if count_links:
+        links = compared(_bundled(members).union(_pairs_of_blocks(members)))
+    else:
+        links = compared(_bundled(members).union(_with_pivots(members)))
+        if not _blocks_of(members).isEmpty():
+            links = links.union(compared(_apart(members, links)))
     final = connected_components(links.filter("a != b").select("a", "b"))
-    counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    linked = classes.join(counts.withColumnRenamed("a", "k1"), "k1", "left").join(final.withColumnRenamed("node", "k1"), "k1", "left")
+    linked = classes.join(final.withColumnRenamed("node", "k1"), "k1", "left")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    result = (
-        linked.join(least, "root", "left").filter("w > 1 or root is not null")
-        .select("k1", "k2", "n", F.coalesce("least", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
-    )
-    known = every.join(result, ["k1", "k2", "n"], "left")
-    return known.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+    result = linked.join(least, "root", "left").filter("w > 1 or root is not null").select("k1", "k2", "n", F.coalesce("least", "rep").alias("root"), "w")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
+    if not count_links:
+        return every.join(result, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    counts = links.groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
+    result = result.join(counts, "k1", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("w") - 1)
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")
+    return every.join(result, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component, n_links)

@@ -41,7 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again: no lineage, and it outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these frames; nothing that still depends on them may be used after that."""
+    for df in tables:
+        if path := getattr(df, "cut_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
