@@ -31,13 +31,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if not ids.limit(1).count():
-        groups = jaccard_join(docs, shingle=5, num=4, den=5)
+        groups = jaccard_join(docs, shingle=5, num=4, den=5, count_links=False)
         keep = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
         return docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi")
     names = [f"c{i}" for i in range(len(docs.columns))]
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     rows = cut(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
-    groups = jaccard_join(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5)
+    groups = jaccard_join(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5, count_links=False)
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row")
     known = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", doc_id), "row")
     keep = cut(known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
