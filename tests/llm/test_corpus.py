@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, toxicity, url_filter
+from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, stages, toxicity, url_filter
 from tripstream.llm.components import connected_components, forest, spanned
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, task int"
@@ -203,6 +203,33 @@ def test_mixing(spark, texts):
     assert {r.taken for r in mixing.mix_sources(docs(spark, [None, ""])).collect()} == {0}
 
 
+def test_mixing_probabilities(spark):
+    """Over sources with the same sizes, a document's share of extra copies is its inclusion probability."""
+    rng = random.Random(6)
+    sizes = [rng.randrange(3, 40) for _ in range(140)] + [450, 600]
+    rows = [(s * 1000 + i, "w " * n, f"s{s:03}") for s in range(210) for i, n in enumerate(sizes)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for target in {r.target for r in got}:
+        own = [r for r in got if r.target == target]
+        total = sum(sizes)
+        certain = min(3, int(target // total))
+        rest = int(target - certain * total)
+        inside, outside = sorted((n for n in sizes if n <= rest), reverse=True), {n for n in sizes if n > rest}
+        sure = set()
+        while inside and (rest - sum(n for n in sizes if n in sure)) * inside[0] >= sum(n * n for n in inside):
+            sure.add(inside[0])
+            inside = [n for n in inside if n not in sure]
+        gap, squares = rest - sum(n for n in sizes if n in sure), sum(n * n for n in inside)
+        for i, n in enumerate(sizes):
+            p = 1 if n in sure else 0 if n in outside or not rest else gap * n / squares
+            seen = [r.copies - certain for r in own if r.doc_id % 1000 == i]
+            assert set(seen) <= {0, 1} and abs(np.mean(seen) - p) < 0.04 + 4 * (p * (1 - p) / len(seen)) ** 0.5
+        taken = {}
+        for r in own:
+            taken[r.doc_id // 1000] = taken.get(r.doc_id // 1000, 0) + r.taken
+        assert all(target - 40 < t <= target for t in taken.values())
+
+
 def test_packing(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -367,25 +394,66 @@ def test_quality_rules(spark, texts):
     assert quality_rules.quality_cascade(docs(spark, [])).count() == 0
 
 
-def test_pipeline_runs_stage_by_stage(spark):
+def test_pipeline_runs_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
-    some = docs(spark, ["a b c d e f password=abcdef1", "a b c d e f password=abcdef1", "other words are here now", "noid"]).toDF("doc_id", "text", "lang", "source", "n_chars", "u", "v").drop("u", "v")
-    kept = corpus_pipeline.near_duplicate_stage(spark, some, "")
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "2", "None"] and kept.columns == some.columns
-    clean = corpus_pipeline.secret_stage(spark, kept, "")
-    assert {r.text for r in clean.collect() if r.doc_id == 0} == {"a b c d e f [SECRET]"} and clean.columns == some.columns
-    assert corpus_pipeline.mixing_stage(spark, clean, "").columns == some.columns
+    steps = dict(corpus_pipeline.STAGES)
+    assert list(steps) == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
+    rng = random.Random(12)
+    good = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(60)]
+    junk = [" ".join(f"W{rng.randrange(900)}!!".upper() for _ in range(60)) for _ in range(40)]
+    texts = [*good, *junk, good[1] + " password=abcdef1", good[2], None, "", " ".join(f"v{i}" for i in range(30000))]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), "other", i) for i, t in enumerate(texts)]
+    rows += [(None, good[5] + " tail", "en", "s1", 3, "none", 0), (3, good[3] + " secret=zzzzzzzz", None, None, None, None, None), (3, good[3], "en", "s1", 1, "again", 1)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, size int"
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        for name, some in (("full", rows), ("none", [])):
+            spark.createDataFrame(some, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+            spark.createDataFrame([(i, int(i < 60), 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+        frames = {}
+        for name, stage in list(steps.items())[:-1]:
+            before, docs = docs, spark.createDataFrame(stage(spark, docs, f"{tmp_path}/full").collect(), columns)
+            frames[name] = docs.collect()
+            assert docs.columns == before.columns
+        plain = lambda rs: sorted(((r[0] if r[0] is not None else -1, r[1] or "") for r in rs))
+        passed = frames["quality"]
+        assert {r.doc_id for r in passed} >= {*range(60), 100, 101} and not {r.doc_id for r in passed} & set(range(60, 100))
+        # near duplicates against brute force over rows
+        sets, order = list(shingle_sets([r[1] for r in passed], 5)), sorted(range(len(passed)), key=lambda i: (passed[i][0] is None, passed[i][0] or 0))
+        root = list(range(len(passed)))
+        for _ in range(4):
+            for i in range(len(passed)):
+                for j in range(len(passed)):
+                    if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                        root[i] = root[j] = min(root[i], root[j])
+        groups = [[i for i in order if root[i] == g] for g in set(root)]
+        kept = frames["near_duplicates"]
+        assert len(kept) == len(groups) and {r.doc_id for r in kept} == {passed[g[0]].doc_id for g in groups}
+        assert plain(frames["secrets"]) == sorted((r[0] if r[0] is not None else -1, secrets.redacted(r[1]) or "") for r in kept)
+        assert all(r[4] == (None if r[1] is None else len(r[1])) for r in frames["secrets"])
+        want = {}
+        for r in mixing.mix_sources(spark.createDataFrame(frames["secrets"], columns)).collect():
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+        count = {}
+        for r in frames["mixing"]:
+            count[r.doc_id] = count.get(r.doc_id, 0) + 1
+        assert count == {k: n for k, n in want.items() if n}
+        packed = steps["packing"](spark, docs, "").collect()
+        whole = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+        key = lambda r: (r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32)
+        assert sorted(map(key, whole)) == sorted(map(key, packed)) and len(packed) >= len(frames["mixing"])
+        assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
 
 
 def test_near_duplicates_go_by_row(spark):
-    import corpus_pipeline
-
     base = [f"w{i}" for i in range(60)]
     near = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
     rows = [(1, "one quite different text of some words"), (1, "another text that stands for itself here"), (3, near()), (3, near(1)), (2, near(2)), (None, near(3)), (None, "no id but own words"), (None, "no id but own words")]
-    kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = stages.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(str, kept.collect())) == sorted(map(str, (spark.createDataFrame([rows[i] for i in (0, 1, 4, 6)], "doc_id long, text string").collect())))
     got = jaccard_join.jaccard_join(spark.createDataFrame([(3, near()), (3, near(1)), (4, near(2))], "doc_id long, text string"), 5, 4, 5).collect()
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(3, 3, 2), (3, 3, 2), (4, 3, 2)]

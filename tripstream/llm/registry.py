@@ -7,12 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import ann, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, toxicity, url_filter
 from .shared import pick, table
-
-TOKENIZER = "word_bpe_49k.json"
+from .stages import tokenizer_path
 
 #: The contract's rules.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -20,12 +17,6 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 URL_SEEDS = r"(?i)spam|casino|pills|bets|lottery|viagra|porn|xxx|payday|replica"
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
 def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -71,10 +62,6 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 #: Pairs by common shingles; the components by reachability.
 SQL6 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -93,7 +80,7 @@ FROM g LEFT JOIN c ON c.x = g.doc_id LEFT JOIN k ON k.x = g.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_multiprobe_neighbours, op2_pairwise_quality, op3_pareto_mixing, op4_factorization_toxicity, op5_template_removal, op6_partenum_join,
-        op7_boosted_url_filter, op8_bin_slack_packing, op9_layered_secrets, op10_rule_cascade, pipeline,
+        op7_boosted_url_filter, op8_bin_slack_packing, op9_layered_secrets, op10_rule_cascade,
     )
     return {f.__name__: f for f in ops}
 
