@@ -4,80 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 returns to the shared folder and reads it again for the next.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tripstream.llm.jaccard_join import jaccard_join
-from tripstream.llm.mixing import mix_sources
-from tripstream.llm.packing import pack
-from tripstream.llm.quality import keep_good
-from tripstream.llm.secrets import redact
-from tripstream.llm.shared import cut, table
-
-TOKENIZER = "word_bpe_49k.json"
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts good, as they are."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: that of the smallest doc_id.
-
-    Rows are kept or dropped one by one: rows that repeat a doc_id, or have none (these come last), as any other.
-    """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if not ids.limit(1).count():
-        groups = jaccard_join(docs, shingle=5, num=4, den=5, count_links=False)
-        keep = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
-        return docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    rows = cut(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
-    groups = jaccard_join(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5, count_links=False)
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row")
-    known = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", doc_id), "row")
-    keep = cut(known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
-    return rows.join(keep, "row", "left_semi").select(*names).toDF(*docs.columns)
-
-
-def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret, nested ones too, replaced; n_chars follows."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that repeat a doc_id, or have none, as often as any of them."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("mixed_id"), "copies")
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences, a row each."""
-    import public_tokenizers
-
-    return pack(docs, public_tokenizers.path(TOKENIZER))
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("secrets", secret_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
-]
+from tripstream.llm.stages import STAGES, run
 
 #: The learned classifier has no SQL.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
