@@ -124,9 +124,8 @@ def test_signatures_meet_whenever_sets_link():
                 b = np.unique(np.concatenate([b, rng.integers(0, 2**64, int(rng.integers(0, add + 1)), dtype=np.uint64)]))
                 both = len(np.intersect1d(a, b))
                 if den * both >= num * (len(a) + len(b) - both) and len(b):
-                    assert len(np.intersect1d(jaccard_join.signatures(a, num, den), jaccard_join.signatures(b, num, den)))
-                    for spare, small in jaccard_join.REFINE:
-                        some = [jaccard_join.subset_signatures(x, num, den, spare, small) for x in (a, b)]
+                    for spare, small in ((0, 1), jaccard_join.FIRST, *jaccard_join.REFINE):
+                        some = [jaccard_join.signatures(x, num, den, spare, small) for x in (a, b)]
                         assert len(np.intersect1d(*some))
 
 

@@ -45,7 +45,7 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * _STEP, 1), starts
 
 
-def shingles(texts: list[str], k: int, chunk: int = 4_000_000) -> Iterator[np.ndarray]:
+def shingles(texts: list[str], k: int, chunk: int = 1_000_000) -> Iterator[np.ndarray]:
     """For each text, in order, the sorted distinct 64-bit hashes of its k-word shingles.
 
     Words are lower-cased in A-Z only. With fewer than k words the whole sequence is one shingle; with none,

@@ -1,17 +1,16 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sizes fall into bands so narrow that two linked sets lie in one band or in neighbouring ones. For a band and its
-upper neighbour the similarity bounds the number k of differing features. The feature domain is cut into k + 1
-parts, so two linked sets agree on a whole part, and the hash of a set's part is a signature. Sets that share a
-signature are candidates; exact sets are compared before anything counts as a link. Groups of candidates that are
-too large for one comparison are divided anew by signatures of the general form: fewer parts, of which some hold
-at most a few of the k differences, each cut into smaller ones, and a signature for every subset of these that
-leaves so many out.
+upper neighbour the similarity bounds the number k of differing features. The feature domain is cut into so many
+parts that some part has at most a few of the k differences; each part is cut into smaller ones, and there is a
+signature for every subset of these that leaves so many out: of two linked sets one subset holds the same
+features. Sets that share a signature are candidates; exact sets are compared before anything counts as a link.
+Groups of candidates that are too large for one comparison are divided anew by larger subsets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -31,8 +30,11 @@ BLOCK = 384
 MANY = 48
 #: So often an agreement on an empty part is backed by another division of the domain.
 DEPTH = 3
-#: A group of more than BLOCK sets is divided again, in turn by signatures that leave out so many of so many smaller parts.
-REFINE = ((1, 4), (2, 6), (3, 8))
+#: Signatures leave out so many of so many smaller parts. Single parts would be less to move, but passages that many
+#: texts share then chain ever more of them into one group as the corpus grows.
+FIRST = (1, 4)
+#: A group of more than BLOCK sets is divided again, in turn by these.
+REFINE = ((2, 6), (3, 8))
 #: From so many differences on, sets that agree on empty subsets alone are left to chance: at spare 3 that needs more
 #: than 3 differences in each of 100 parts but one, about exp(-50).
 MOST_BACKED = 400
@@ -40,8 +42,11 @@ MOST_BACKED = 400
 PIVOTS = 64
 #: Up to so many rows of (class, group), a few numbers each, are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
-#: Bytes of text whose signatures meet in one task, about 0.6 bytes for one of these.
-RANGE_BYTES = 64_000_000
+#: Bytes of text whose signatures meet in one task, about 1.2 bytes for each; and so many tasks at least.
+RANGE_BYTES = 12_000_000
+LEAST_RANGES = 12
+#: Signatures that a worker holds before it deals them out.
+CHUNK = 500_000
 
 
 @lru_cache(64)
@@ -81,17 +86,6 @@ def _signatures(h: np.ndarray, n: int, path: int, level: int, out: list[np.ndarr
                     out.append(np.array([deeper], np.uint64))
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's signatures in its band's instance, shared with the next band, and in the one shared with the band below."""
-    tops, ks = bands(num, den, 1 << max(8, (len(h) - 1).bit_length()))
-    at = int(np.searchsorted(tops, len(h)))
-    out: list[np.ndarray] = []
-    for instance in (at - 1, at):
-        if instance > 0:
-            _signatures(h, int(ks[instance]) + 1, instance * 1_000_003, 0, out)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
 @lru_cache(64)
 def _subsets(small: int, spare: int) -> np.ndarray:
     """A column for each subset of the small parts without `spare` of them."""
@@ -101,12 +95,15 @@ def _subsets(small: int, spare: int) -> np.ndarray:
     return out
 
 
-def subset_signatures(h: np.ndarray, num: int, den: int, spare: int, small: int) -> np.ndarray:
-    """Like signatures(), with larger ones: of k differences some part of (k + 1) / (spare + 1) has `spare` at most,
-    and then one subset of its small parts has none. An empty subset is backed by plain signatures."""
+def signatures(h: np.ndarray, num: int, den: int, spare: int, small: int) -> np.ndarray:
+    """The set's signatures in its band's instance, shared with the next band, and in the one shared with the band below.
+
+    Of k differences some part of (k + 1) / (spare + 1) has `spare` at most, and then one subset of its small parts
+    has none. An empty subset is backed by signatures of single parts. h is sorted.
+    """
     tops, ks = bands(num, den, 1 << max(8, (len(h) - 1).bit_length()))
     at = int(np.searchsorted(tops, len(h)))
-    own = np.sort(mix(h, 2000 + spare))
+    own = h if spare == FIRST[0] else np.sort(mix(h, 2000 + spare))
     value = mix(own, 6)
     out: list[np.ndarray] = []
     for instance in (at - 1, at):
@@ -135,7 +132,25 @@ def _key(h: np.ndarray) -> tuple[int, int]:
         return tuple(int(x) for x in np.array([mix(h, 21).sum(), mix(h, 22).sum()], np.uint64).view(np.int64))
 
 
+#: Bytes that are sent of a signature, to which its range among the others adds bits, and of the node that has it.
+#: Nodes or signatures that agree by chance only make candidates.
+SENT = 5
+_MASK = (1 << 8 * SENT) - 1
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def _unpacked(raw: Iterable[bytes]) -> np.ndarray:
+    some = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SENT)
+    out = np.zeros((len(some), 8), np.uint8)
+    out[:, :SENT] = some
+    return out.view("<u8").ravel()
+
+
 _NOTE = "part int, kind int, ids binary, sigs binary"
+_NOTE_NAMES = ("part", "kind", "ids", "sigs")
 
 
 def _dealt(sigs: list[np.ndarray], nodes: list[np.ndarray], ranges: int) -> list[tuple[int, int, bytes, bytes]]:
@@ -164,19 +179,33 @@ def _dealt(sigs: list[np.ndarray], nodes: list[np.ndarray], ranges: int) -> list
     slot = (((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
     cuts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(s)])) if len(s) else np.zeros(1, np.int64)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        names, at = np.unique(n[lo:hi], return_inverse=True)
-        size = np.uint16 if len(names) <= 65_536 else np.uint32
-        head = np.array([len(names)], np.int64).tobytes() + names.tobytes()
-        rows.append((int(slot[lo]), 1, head + at.astype(size).tobytes(), s[lo:hi].tobytes()))
+        rows.append((int(slot[lo]), 1, _packed(n[lo:hi]), _packed(s[lo:hi])))
     return rows
 
 
+class _Dealer:
+    """Gathers sets' signatures and deals them out, about CHUNK at a time."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.sigs, self.nodes, self.size = ranges, [], [], 0
+
+    def add(self, node: int, sigs: np.ndarray) -> None:
+        self.sigs.append(sigs)
+        self.nodes.append(np.full(len(sigs), node & _MASK, np.int64))
+        self.size += len(sigs)
+
+    def dealt(self, least: int = 0) -> Iterator[pd.DataFrame]:
+        if self.size > least:
+            yield pd.DataFrame(_dealt(self.sigs, self.nodes, self.ranges), columns=_NOTE_NAMES)
+            self.sigs, self.nodes, self.size = [], [], 0
+
+
 def _scan(k: int, num: int, den: int, ranges: int):
     """Each batch: rows of its documents (kind 0), and its signatures by range of value (kind 1), one node for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            docs, sigs, nodes = [], [], []
+            docs, dealer = [], _Dealer(ranges)
             seen: set[int] = set()
             known = b["doc_id"].notna().to_numpy()
             for i, h in enumerate(shingles(b["text"].tolist(), k)):
@@ -184,17 +213,14 @@ def _scan(k: int, num: int, den: int, ranges: int):
                 docs.append((len(h), one, two))
                 if len(h) and known[i] and one not in seen:
                     seen.add(one)
-                    s = signatures(h, num, den)
-                    sigs.append(s)
-                    nodes.append(np.full(len(s), one, np.int64))
+                    dealer.add(one, signatures(h, num, den, *FIRST))
+                    yield from dealer.dealt(CHUNK)
+            yield from dealer.dealt()
             ids = b["doc_id"].fillna(0).astype("int64").to_numpy()
             info = np.column_stack([ids, known.astype(np.int64), np.array(docs, np.int64).reshape(-1, 3)])
-            rows = []
             where = (ids % ranges).astype(np.int64)
-            for p in np.unique(where):
-                rows.append((int(p), 0, np.ascontiguousarray(info[where == p]).tobytes(), b""))
-            rows += _dealt(sigs, nodes, ranges)
-            yield pd.DataFrame(rows, columns=["part", "kind", "ids", "sigs"])
+            rows = [(int(p), 0, np.ascontiguousarray(info[where == p]).tobytes(), b"") for p in np.unique(where)]
+            yield pd.DataFrame(rows, columns=_NOTE_NAMES)
 
     return run
 
@@ -204,12 +230,12 @@ def _rescan(k: int, num: int, den: int, ranges: int, spare: int, small: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sigs, nodes = [], []
+            dealer = _Dealer(ranges)
             for h, one, two, comp in zip(shingles(b["text"].tolist(), k), b["k1"], b["k2"], b["comp"], strict=True):
                 if len(h) and _key(h) == (one, two):  # a repeated doc_id brings other texts along
-                    sigs.append(mix(subset_signatures(h, num, den, spare, small) ^ mix(np.array([comp], np.int64).view(np.uint64), 41)))
-                    nodes.append(np.full(len(sigs[-1]), one, np.int64))
-            yield pd.DataFrame(_dealt(sigs, nodes, ranges), columns=["part", "kind", "ids", "sigs"])
+                    dealer.add(one, mix(signatures(h, num, den, spare, small) ^ mix(np.array([comp], np.int64).view(np.uint64), 41)))
+                    yield from dealer.dealt(CHUNK)
+            yield from dealer.dealt()
 
     return run
 
@@ -226,13 +252,7 @@ def _meet(_key, group: pd.DataFrame) -> pd.DataFrame:
     pairs = [np.frombuffer(ids, np.int64).reshape(-1, 2) for ids in group["ids"][group["kind"] == 2]]
     some = group[group["kind"] == 1]
     if len(some):
-        sigs, nodes = [], []
-        for ids, s in zip(some["ids"], some["sigs"], strict=True):
-            sigs.append(np.frombuffer(s, np.uint64))
-            m = int(np.frombuffer(ids[:8], np.int64)[0])
-            at = np.frombuffer(ids[8 + 8 * m :], np.uint16 if m <= 65_536 else np.uint32)
-            nodes.append(np.frombuffer(ids[8 : 8 + 8 * m], np.int64)[at])
-        s, n = np.concatenate(sigs), np.concatenate(nodes)
+        s, n = _unpacked(some["sigs"]), _unpacked(some["ids"]).view(np.int64)
         order = np.argsort(s, kind="stable")
         s, n = s[order], n[order]
         more = np.flatnonzero((s[1:] == s[:-1]) & (n[1:] != n[:-1]))
@@ -356,13 +376,14 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     src = pick(docs, doc_id="long", text="string")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(parts(spark), -(-size // RANGE_BYTES))
+    ranges = max(min(parts(spark), LEAST_RANGES), -(-size // RANGE_BYTES))
     blobs = src.mapInPandas(_scan(shingle, num, den, ranges), _NOTE)
     found = cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND))
     every = found.filter("kind = 0").select(F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), "n", "k1", "k2")
     classes = cut(every.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w")))
+    named = classes.withColumn("node", F.col("k1").bitwiseAND(F.lit(_MASK)))
     coarse = connected_components(found.filter("kind = 1").select("a", "b"))
-    members = cut(classes.join(coarse.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1"))
+    members = cut(named.join(coarse.withColumnRenamed("root", "comp"), "node"))
     forget(coarse)
     for spare, small in REFINE:
         large = members.groupBy("comp").agg(F.count("*").alias("m")).filter(F.col("m") > BLOCK).select("comp")
@@ -375,7 +396,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5,
         blobs = again.select("text", "k1", "k2", "comp").mapInPandas(_rescan(shingle, num, den, ranges, spare, small), _NOTE)
         met = cut(blobs.groupBy("part").applyInPandas(_meet, _FOUND))
         finer = connected_components(met.select("a", "b"))
-        divided = inside.drop("comp").join(finer.withColumnsRenamed({"node": "k1", "root": "comp"}), "k1").select(members.columns)
+        divided = inside.drop("comp").join(finer.withColumnRenamed("root", "comp"), "node").select(members.columns)
         before, members = members, cut(members.join(large, "comp", "left_anti").select(members.columns).union(divided))
         forget(before, inside, met, finer)
     known_texts = src.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")

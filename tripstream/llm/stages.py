@@ -17,6 +17,8 @@ from .secrets import redact
 from .shared import cut, forget, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Up to so many ids are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -44,16 +46,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     plain, names, (doc_id, text) = _plain(docs, "doc_id", "text")
     ids = plain.groupBy(doc_id).agg(F.count("*").alias("n")).filter(F.col("n") > 1).limit(1).count() or plain.filter(F.col(doc_id).isNull()).limit(1).count()
-    if not ids:
-        groups = jaccard_join(plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5, count_links=False)
-        keep = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")))
-        return plain.join(keep, F.col(doc_id) == F.col("kept_id"), "left_semi").toDF(*docs.columns)
-    rows = cut(plain.withColumn("row", F.monotonically_increasing_id()))
-    groups = jaccard_join(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5, count_links=False)
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row")
-    known = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", doc_id), "row")
-    keep = cut(known.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
-    return rows.join(keep, "row", "left_semi").select(*names).toDF(*docs.columns)
+    rows, row = (cut(plain.withColumn("row", F.monotonically_increasing_id())), "row") if ids else (plain, doc_id)
+    groups = jaccard_join(rows.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), shingle=5, num=4, den=5, count_links=False)
+    known = groups.select(F.col("doc_id").alias("gone"), "component_id")
+    if ids:
+        known = known.join(rows.select(F.col("row").alias("gone"), F.col(doc_id).alias("id")), "gone")
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "gone")
+        known = cut(known.filter(F.col("component_id").isNotNull()).withColumn("order", order))
+        first = known.groupBy("component_id").agg(F.min("order").alias("first"))
+        drop = known.join(first, "component_id").filter(F.col("gone") != F.col("first.gone"))
+    else:
+        drop = known.filter(F.col("gone") != F.col("component_id"))
+    drop = cut(drop.select("gone"))
+    # one number for each row that goes: few are broadcast; beyond that, the join shuffles the texts once
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    return rows.join(side, F.col(row) == F.col("gone"), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
