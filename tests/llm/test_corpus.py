@@ -12,6 +12,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, stages, toxicity, url_filter
 from tripstream.llm.components import connected_components, forest, spanned
 
@@ -375,6 +377,72 @@ def test_url_filter(spark):
     assert {r.page_id: r.verdict for r in url_filter.url_filter(new, {}, lab).collect()} == {1: "block", 2: "allow"}
 
 
+def test_boosting_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    names = ("a", "b", "c")
+    model = url_filter.boost(x, y, names)
+    raw = np.full(len(y), np.log((y.sum() + 0.5) / (len(y) + 1 - y.sum() - 0.5)))
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, url_filter.CUTS + 2)[1:-1]))) for j in range(3)]
+
+    def grow(rows, depth):
+        p = 1 / (1 + np.exp(-before[rows]))
+        g, h = p - y[rows], np.maximum(p * (1 - p), 1e-6)
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + url_filter.RIDGE)
+        found = [(gain(x[rows, j] <= c) + gain(x[rows, j] > c) - gain(rows == rows), -j, -c) for j in range(3) for c in cuts[j] if min((x[rows, j] <= c).sum(), (x[rows, j] > c).sum()) >= url_filter.LEAST]
+        if not depth or len(rows) < 2 * url_filter.LEAST or not found or max(found)[0] <= 1e-9:
+            raw[rows] += -url_filter.RATE * g.sum() / (h.sum() + url_filter.RIDGE)
+            return
+        best = max(f[0] for f in found)
+        _, j, c = next(f for f in found if f[0] > best - 1e-12)
+        low = x[rows, -j] <= -c
+        grow(rows[low], depth - 1)
+        grow(rows[~low], depth - 1)
+
+    for _ in range(url_filter.ROUNDS):
+        before = raw.copy()
+        grow(np.arange(len(y)), url_filter.DEPTH)
+    assert np.allclose(model.raw(x, names), raw) and ((raw > 0) == y).mean() > 0.9
+    frame = spark.createDataFrame(x.tolist(), "a double, b double, c double").select("*", model.column().alias("raw")).collect()
+    assert np.allclose([r.raw for r in frame], raw)
+
+
+def test_url_labels_come_from_the_rules(spark):
+    """Words of a host decide nothing: the same words are blocked or not as the rules have it."""
+    word = lambda i: "".join(chr(97 + (i * 7 + j * 3) % 26) for j in range(6))
+    urls = [f"http://{w}-{word(i)}.{s}/{word(i + 5)}" for i in range(60) for w, s in (("casino", "good.org"), ("garden", "bad.org"), ("casino", "plain.org"))]
+    pages = spark.createDataFrame([*enumerate(urls), (900, None), (901, "no host"), (902, "http://x.plain.org/" + "y" * 100_000)], "page_id long, url string")
+    rules = {"bad.org/": "block", "good.org/": "allow"}
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    assert all(got[i].verdict == ("block" if ".bad." in u else "allow") for i, u in enumerate(urls)) and got[900].verdict == "allow" and len(got[902].path) == 100_001
+    assert url_filter.held_out_auc(url_filter.rule_labels(pages, rules)) > 0.9
+    assert url_filter.url_filter(pages.limit(0), rules).count() == 0
+    swapped = {r.page_id: r.verdict for r in url_filter.url_filter(pages, {"good.org/": "block", "bad.org/": "allow"}).collect()}
+    assert all(swapped[i] == ("block" if ".good." in u else "allow") for i, u in enumerate(urls))
+
+
+def test_rule_order_follows_cost_and_selectivity(spark):
+    some = docs(spark, [" ".join(f"w{i}x{j}" for j in range(40)) + (" " + "!" * 200 if i % 2 else "") for i in range(60)])
+    rules = {"never": "n_words < 0", "half": "length(text) - length(replace(text, '!', '')) > n_words", "dear": f"({' + '.join(['length(regexp_replace(text, ' + repr(f'[a-{c}]+') + ', repeat(text, 2)))' for c in 'bcdef'])}) < 0 or n_symbols > 1000"}
+    sample = quality_rules.cut(quality_rules.measured(quality_rules.sampled(some, 1000)))
+    costs = quality_rules.rule_costs(sample, rules)
+    assert costs["half"][1] == 0.5 and costs["never"][1] == 0 and costs["dear"][0] > costs["half"][0]
+    assert quality_rules.rule_order(some, rules)[0] == "half"
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert 250 < quality_rules.sampled(many, 400).count() < 600
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(21)
+    texts = [" ".join(f"{'W' if i % 3 else 'w'}{rng.randrange(300)}{'!' if i % 5 == 0 else ''}" for _ in range(40)) for i in range(200)]
+    lab = labels(spark, [(i, int(i % 3 == 0), int(i % 7 == 0)) for i in range(200)])
+    d = docs(spark, texts)
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        one, two = ({r.doc_id: r.score for r in scores(x, lab).collect()} for x in (d, d.repartition(7)))
+        assert one == two
+
+
 def test_quality_rules(spark, texts):
     junk = ["a b c d e " * 5, "same line here\n" * 6 + "x y z q w e r", " ".join(["%%%w"] * 30), " ".join(f"{a}{b}nter" for a in "abcdef" for b in "mnopq")]
     some = [*texts, *junk]

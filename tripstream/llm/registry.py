@@ -5,17 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, toxicity, url_filter
-from .shared import pick, table
+from .shared import table
 from .stages import tokenizer_path
 
 #: The contract's rules.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Hosts with such a word count as blocked when the trees are fitted.
-URL_SEEDS = r"(?i)spam|casino|pills|bets|lottery|viagra|porn|xxx|payday|replica"
-
 
 def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
@@ -42,12 +38,8 @@ def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled urls: what rules decide, hosts with a seed word as blocked, and the others, unlabelled, as allowed."""
-    pages = table(spark, sf_dir, "pages")
-    urls = pick(pages, url="string").withColumn("host", html_text.host_of(F.col("url"))).withColumn("path", url_filter.path_of(F.col("url")))
-    said = url_filter.matched_rule(F.col("host"), F.col("path"), URL_RULES)[1]
-    labelled = urls.select("url", F.coalesce((said == "block").cast("int"), F.col("host").rlike(URL_SEEDS).cast("int")).alias("label"))
-    return url_filter.url_filter(pages, URL_RULES, labelled).drop("risk")
+    """Labels are the rules' verdicts; a url that no rule blocks counts as allowed."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES).drop("risk")
 
 
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

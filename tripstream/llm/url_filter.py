@@ -5,6 +5,8 @@ Features, rules and trees are DataFrame expressions; only the trees' fit, on a b
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ LEAST = 5
 RIDGE = 1.0
 #: A suffix's share of blocked urls is drawn to the overall share as if by so many urls more.
 PRIOR = 20.0
+#: Suffix statistics of a row are those of the other folds.
+FOLDS = 5
 
 FEATURES = ("length", "host_length", "path_depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "secure", "suffix_share", "suffix_known")
 
@@ -81,6 +85,14 @@ class Boosted:
     def __init__(self, start: float, trees: list):
         self.start, self.trees = start, trees
 
+    def raw(self, x: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+        def of(tree, row):
+            while isinstance(tree, tuple):
+                tree = tree[2] if row[names.index(tree[0])] <= tree[1] else tree[3]
+            return tree
+
+        return np.array([self.start + sum(of(t, row) for t in self.trees) for row in x])
+
     def column(self) -> F.Column:
         def of(tree):
             if not isinstance(tree, tuple):
@@ -128,42 +140,86 @@ def boost(x: np.ndarray, y: np.ndarray, names: tuple[str, ...]) -> Boosted:
     return Boosted(start, trees)
 
 
-def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Boosted, dict[str, float], float]:
-    """The trees, each suffix's smoothed share of blocked urls, and the overall share, from rows (url, label: 1 block, 0 allow).
-
-    sample_rows distinct rows at most are learned from, and so suffixes are fewer.
-    """
+def _examples(labelled: DataFrame, sample_rows: int) -> list:
+    """Label, host and features of sample_rows distinct labelled rows at most."""
     rows = pick(labelled, url="string", label="int").filter("label is not null").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(sample_rows)
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    got = with_features(rows).select("label", "suffix", *FEATURES[:-2]).collect()
-    y = np.array([r.label for r in got], float)
-    share = float(y.mean()) if len(y) else 0.0
+    got = with_features(rows).select("label", "host", "suffix", *FEATURES[:-2]).collect()
+    return sorted(got, key=lambda r: tuple(r))
+
+
+def _shares(rows: list, share: float) -> dict[str, float]:
+    """Each suffix's share of blocked rows, drawn to the overall share."""
     seen: dict[str, list[float]] = {}
-    for r in got:
+    for r in rows:
         n = seen.setdefault(r.suffix, [0.0, 0.0])
         n[0] += 1
         n[1] += r.label
-    suffixes = {s: (b + PRIOR * share) / (n + PRIOR) for s, (n, b) in seen.items()}
-    x = np.array([[*(r[f] for f in FEATURES[:-2]), suffixes[r.suffix], 1.0] for r in got], float).reshape(-1, len(FEATURES))
-    return boost(x, y, FEATURES), suffixes, share
+    return {s: (b + PRIOR * share) / (n + PRIOR) for s, (n, b) in seen.items()}
+
+
+def _fold(host: str) -> int:
+    """Urls of a host are in one fold, so that no row's suffix statistics come from its own host."""
+    return zlib.crc32(host.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def _matrix(rows: list, shares: list[dict[str, float]], share: float) -> np.ndarray:
+    return np.array([[*(r[f] for f in FEATURES[:-2]), own.get(r.suffix, share), float(r.suffix in own)] for r, own in zip(rows, shares, strict=True)], float).reshape(-1, len(FEATURES))
+
+
+def _fit(rows: list) -> tuple[Boosted, dict[str, float], float]:
+    y = np.array([r.label for r in rows], float)
+    share = float(y.mean()) if len(y) else 0.0
+    others = [_shares([r for r in rows if _fold(r.host) != k], share) for k in range(FOLDS)]
+    x = _matrix(rows, [others[_fold(r.host)] for r in rows], share)
+    return boost(x, y, FEATURES), _shares(rows, share), share
+
+
+def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Boosted, dict[str, float], float]:
+    """The trees, each suffix's smoothed share of blocked urls, and the overall share, from rows (url, label: 1 block, 0 allow).
+
+    sample_rows distinct rows at most are learned from, and so suffixes are fewer. The trees see each row's suffix
+    statistics as the other folds' hosts have them.
+    """
+    return _fit(_examples(labelled, sample_rows))
+
+
+def held_out_auc(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> float:
+    """How often a blocked url of the hosts in fold 0 scores above an allowed one (ties: half), learned from the other hosts; nan without both."""
+    rows = _examples(labelled, sample_rows)
+    model, suffixes, share = _fit([r for r in rows if _fold(r.host)])
+    rest = [r for r in rows if not _fold(r.host)]
+    raw, y = model.raw(_matrix(rest, [suffixes] * len(rest), share), FEATURES), np.array([r.label for r in rest])
+    good, bad = raw[y == 0], raw[y == 1]
+    if not len(good) or not len(bad):
+        return float("nan")
+    return float(((bad[:, None] > good[None, :]) + 0.5 * (bad[:, None] == good[None, :])).mean())
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, risk (chance to be blocked).
 
     rules: 'allow' or 'block' by host/path; the longest that fits decides. Other urls go to trees learned from
-    labelled (url, label); without it, the urls that a rule decides are the labelled ones. A null url, or one
-    without ://, has an empty host and path; it is left to the trees. Repeated rows are judged alike. No shuffle.
+    labelled (url, label); without it from rule_labels(). A null url, or one without ://, has an empty host and
+    path; it is left to the trees. Repeated rows are judged alike; no rows give no rows. No shuffle of pages:
+    suffixes, sample_rows at most, are broadcast.
     """
     src = pick(pages, page_id="long", url="string").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     src = src.withColumn("rule", rule).withColumn("said", said)
-    if labelled is None:
-        labelled = src.filter("said is not null").select("url", (F.col("said") == "block").cast("int").alias("label"))
-    model, suffixes, share = learn(labelled, sample_rows)
-    table = F.create_map(*[F.lit(v) for s, p in sorted(suffixes.items()) for v in (s, p)]) if suffixes else F.create_map().cast("map<string,double>")
-    known = table[F.col("suffix")]
-    scored = with_features(src).withColumn("suffix_share", F.coalesce(known, F.lit(share))).withColumn("suffix_known", known.isNotNull().cast("double"))
+    model, suffixes, share = learn(rule_labels(pages, rules) if labelled is None else labelled, sample_rows)
+    known = pages.sparkSession.createDataFrame(sorted(suffixes.items()), "known_suffix string, known_share double")
+    scored = with_features(src).join(F.broadcast(known), F.col("suffix") == F.col("known_suffix"), "left")
+    scored = scored.withColumn("suffix_share", F.coalesce("known_share", F.lit(share))).withColumn("suffix_known", F.col("known_share").isNotNull().cast("double"))
     scored = scored.withColumn("raw", model.column())
     verdict = F.coalesce("said", F.when(F.col("raw") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), (1 / (1 + F.exp(-F.col("raw")))).alias("risk"))
+
+
+def rule_labels(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(url, label) of all pages' urls: 1 for those that a rule blocks, 0 for those that a rule allows or none names.
+
+    So the trees find what else looks like the blocked ones, by lexical features alone, and need evidence to block.
+    """
+    urls = pick(pages, url="string").filter("url is not null").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    return urls.select("url", F.coalesce((matched_rule(F.col("host"), F.col("path"), rules)[1] == "block").cast("int"), F.lit(0)).alias("label"))
