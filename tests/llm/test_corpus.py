@@ -433,6 +433,51 @@ def test_rule_order_follows_cost_and_selectivity(spark):
     assert 250 < quality_rules.sampled(many, 400).count() < 600
 
 
+def test_an_interaction_decides_toxicity():
+    """Toxic only where both words meet: the machine's pairs find it, and its score is the sum over all pairs."""
+    rng = random.Random(31)
+    some = [(i % 2, i // 2 % 2) for i in range(1200)]
+    texts = [" ".join([f"word{rng.randrange(200)}" for _ in range(12)] + ["oaf"] * a + ["they"] * b) for a, b in some]
+    y = np.array([a & b for a, b in some])
+    machine = toxicity.fit([toxicity.terms(t) for t in texts[:900]], y[:900])
+    scores = np.array([machine.score(t) for t in texts[900:]])
+    assert ((scores >= 0.5) == y[900:]).mean() > 0.97
+    for t, score in zip(texts[900:940], scores, strict=False):
+        at = [machine.place[b] for b in toxicity.terms(t).tolist() if b in machine.place]
+        raw = machine.w0 + sum(machine.w[i] for i in at) + sum(machine.v[i] @ machine.v[j] for i in at for j in at if i < j)
+        assert abs(1 / (1 + np.exp(-raw)) - score) < 1e-9
+    a, b = (machine.place[toxicity.word_terms(w)[0]] for w in ("oaf", "they"))
+    assert machine.v[a] @ machine.v[b] > 1
+
+
+def test_preference_weights_against_brute_force():
+    """At the fitted weights the mean gradient of the pairs' logistic loss, summed pair by pair, is near zero."""
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(400, quality.N_FEATURES))
+    y = (x[:, 0] - 0.7 * x[:, 3] + rng.normal(size=400) > 0).astype(int)
+    model = quality.fit(x, y)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    total, n = np.zeros(quality.N_FEATURES), 0
+    for i in np.flatnonzero(y == 1):
+        for j in np.flatnonzero(y == 0):
+            d = z[i] - z[j]
+            total -= d / (1 + np.exp(d @ model.weights))
+            n += 1
+    assert np.abs(total / n).max() < 0.02 and model.weights[0] > 0.5 > -0.3 > model.weights[3]
+    ranked = model.score(x)
+    assert ((ranked >= quality.CUT) == y).mean() > 0.7 and (np.argsort(ranked, kind="stable") == np.argsort(model.raw(x), kind="stable")).all()
+
+
+def test_classifiers_on_edges(spark):
+    lab = labels(spark, [(i, i % 2, 1 - i % 2) for i in range(40)])
+    some = docs(spark, [f"alpha{i} beta" if i % 2 else f"GAMMA{i}!!! !!!" for i in range(40)] + ["noid", "x " * 200_000, "noid", "alpha1 beta"])
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        got = scores(some, lab).collect()
+        assert len(got) == 44 and all(0 <= r.score <= 1 for r in got) and sum(r.doc_id is None for r in got) == 2
+        assert len({r.score for r in got if r.doc_id in (1, 43)}) == 1
+        assert scores(some.limit(0), lab).count() == 0
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     rng = random.Random(21)
     texts = [" ".join(f"{'W' if i % 3 else 'w'}{rng.randrange(300)}{'!' if i % 5 == 0 else ''}" for _ in range(40)) for i in range(200)]

@@ -13,8 +13,8 @@ _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Documents on which costs and selectivities are estimated; they decide the order of the rules, never a verdict.
 SAMPLE_ROWS = 400
-#: Evaluations of a rule for a row of the sample when its cost is taken.
-REPEATS = 20
+#: Evaluations of a rule, over the sample again and again, when its cost is taken.
+EVALUATIONS = 20_000
 
 #: Each is true for a document that fails it. Columns: text and those of measured().
 RULES = {
@@ -71,12 +71,13 @@ def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return d if every <= rows else d.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) < F.lit(max(1, rows * 1_000_000 // every)))
 
 
-def rule_costs(sample: DataFrame, rules: dict[str, str] = RULES, repeats: int = REPEATS) -> dict[str, tuple[float, float]]:
+def rule_costs(sample: DataFrame, rules: dict[str, str] = RULES, evaluations: int = EVALUATIONS) -> dict[str, tuple[float, float]]:
     """For each rule the seconds of one evaluation and the share of the sample that fails it.
 
-    A job evaluates a rule `repeats` times for every row of the sample; the time of a job with no rule goes off, so
-    that what remains is the rule's own. The first job only warms up.
+    A job evaluates a rule for every row of the sample again and again; the time of a job with next to no rule goes
+    off, so that what remains is the rule's own. The first job only warms up.
     """
+    repeats = max(1, evaluations // max(1, sample.count()))
     many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
     def seconds(rule: str) -> tuple[float, int, int]:

@@ -15,10 +15,17 @@ from .shared import held_out, labelled_sample, pick
 #: At most so many labelled ids are learned from; the order of a hash of the id chooses them.
 SAMPLE_IDS = 12_000
 BUCKETS = 1 << 18
-#: The buckets that separate the labels best get weights; the rest weigh nothing, so that long texts don't drift.
-TERMS = 512
+#: A bucket is learned if so many rows have it.
 LEAST = 5
 FACTORS = 4
+#: A bucket gets weights if its share of toxic rows is so many standard errors off, by what it would be without any
+#: relation: a test of evidence, not a number of buckets, so that long texts don't drift by what is noise.
+LEAST_Z = 3.5
+#: Steps of the fit, rows in each, its step size, and how weights and factors are drawn to zero.
+STEPS = 400
+ROWS = 2048
+RATE = 0.05
+DRAW = (2e-4, 1e-3)
 #: Words whose buckets a worker remembers.
 MEMO = 300_000
 #: A toxic row weighs so many clean ones; toxic rows are the rarer.
@@ -72,31 +79,47 @@ def fit(found: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     df = np.bincount(np.concatenate(found), minlength=BUCKETS)
     pos = np.bincount(np.concatenate([f for f, t in zip(found, y, strict=True) if t]), minlength=BUCKETS)
     with np.errstate(all="ignore"):
-        z = np.where(df >= LEAST, np.abs(pos - df * share) / np.sqrt(df * share * (1 - share)), 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    chosen = chosen[z[chosen] > 0].astype(np.uint32)
-    x = np.zeros((n, len(chosen)), np.float32)
-    for i, f in enumerate(found):
-        x[i, np.isin(chosen, f)] = 1
+        z = np.abs(pos - df * share) / np.sqrt(df * share * (1 - share) * (1 - df / n + 1e-9))
+    known = np.flatnonzero((df >= LEAST) & (z >= LEAST_Z)).astype(np.uint32)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[known] = np.arange(len(known))
+    cols = [place[f] for f in found]
+    cols = [c[c >= 0] for c in cols]
+    sizes = np.array([len(c) for c in cols])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.concatenate([*cols, np.empty(0, np.int64)])
     rng = np.random.default_rng(seed)
-    w0, w = float(np.log(share / (1 - share))), np.zeros(len(chosen), np.float32)
-    v = rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)
-    moment = [[0.0, 0.0], [np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(v), np.zeros_like(v)]]
-    for step in range(1, 401):
-        rows = rng.choice(n, min(n, 2048), replace=False)
-        b = x[rows]
-        s = b @ v
-        raw = w0 + b @ w + 0.5 * ((s * s).sum(1) - b @ (v * v).sum(1))
+    # columns: the weight, then the factors
+    theta = np.zeros((len(known), 1 + FACTORS))
+    theta[:, 1:] = rng.normal(0, 0.05, (len(known), FACTORS))
+    first, second, w0, m0, s0 = np.zeros_like(theta), np.zeros_like(theta), float(np.log(share / (1 - share))), 0.0, 0.0
+    y = np.asarray(y, float)
+    for step in range(1, STEPS + 1):
+        rate = RATE * (1 - (step - 1) / STEPS)
+        rows = rng.choice(n, min(n, ROWS), replace=False)
+        rows = rows[sizes[rows] > 0]
+        if not len(rows):
+            continue
+        count = sizes[rows]
+        at = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(rows)), count)
+        terms_ = flat[np.repeat(starts[rows], count) + np.arange(count.sum()) - at[owner]]
+        own = theta[terms_]
+        sums = np.add.reduceat(own, at)
+        raw = w0 + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.add.reduceat((own[:, 1:] ** 2).sum(1), at))
         e = (1 / (1 + np.exp(-np.clip(raw, -50, 50))) - y[rows]) * np.where(y[rows] > 0, WEIGHT, 1.0) / len(rows)
-        e = e.astype(np.float32)
-        grads = [e.sum(), b.T @ e + 2e-4 * w, b.T @ (e[:, None] * s) - (b.T @ e)[:, None] * v + 1e-3 * v]
-        now = [w0, w, v]
-        for i, g in enumerate(grads):
-            moment[i][0] = 0.9 * moment[i][0] + 0.1 * g
-            moment[i][1] = 0.99 * moment[i][1] + 0.01 * g * g
-            now[i] = now[i] - np.float32(0.05) * (moment[i][0] / (1 - 0.9**step)) / (np.sqrt(moment[i][1] / (1 - 0.99**step)) + 1e-8)
-        w0, w, v = now
-    return Machine(chosen, float(w0), w, v)
+        each = e[owner]
+        grad = np.empty_like(theta)
+        grad[:, 0] = np.bincount(terms_, each, len(known))
+        for f in range(1, 1 + FACTORS):
+            grad[:, f] = np.bincount(terms_, each * (sums[owner, f] - own[:, f]), len(known))
+        grad += np.array([DRAW[0]] + [DRAW[1]] * FACTORS) * theta
+        first = 0.9 * first + 0.1 * grad
+        second = 0.99 * second + 0.01 * grad * grad
+        theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        m0, s0 = 0.9 * m0 + 0.1 * e.sum(), 0.99 * s0 + 0.01 * e.sum() ** 2
+        w0 -= rate * (m0 / (1 - 0.9**step)) / (np.sqrt(s0 / (1 - 0.99**step)) + 3e-4)
+    return Machine(known, float(w0), theta[:, 0], theta[:, 1:])
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
