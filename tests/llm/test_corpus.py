@@ -300,6 +300,42 @@ def test_secrets_in_compressed_layers_directly_inside_one_another():
     assert list(secrets._inflated(gzip.compress(gzip.compress(x)) + gzip.compress(y))) and secrets.find("BZh91AY x^2 x^2x^2x^2x^2x^2x^2x^2")[1] == []
 
 
+def test_secrets_in_what_unpacks_to_much():
+    import tracemalloc
+
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    size = 60_000_000
+    secret = b"x password=abcdefghij y "
+    for pack_ in (gzip.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(zlib.compress(x))):
+        for at in (0, size // 2, size - len(secret), secrets.WINDOW - 9):
+            raw = bytearray(b"a " * (size // 2))
+            raw[at : at + len(secret)] = secret
+            text = f"see {b64(pack_(bytes(raw)))} end"
+            del raw
+            tracemalloc.start()
+            assert secrets.redacted(text) == "see [SECRET] end"
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 40_000_000 + 12 * len(text)
+            if pack_ is not gzip.compress:
+                break
+    assert secrets.find(f"see {b64(gzip.compress(b'a ' * 3_000_000))} end")[1] == []
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(17)
+    parts = ["password", "Token", "api_key", "secret", "apikey", "=", ":", " ", '"', "'", "abc123", "x", "AKIA", "ABCDEFGH1234", "deadbeef00", "é", "\n", "%3d", "\\u0061", "QUJD", "-", "."]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        want = []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+            want += [(m.start(), 0, m.end())] if len(m[2]) >= 6 else []
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        base, every = secrets.find(text)
+        assert base == sorted(want) and set(base) <= set(every)
+
+
 @pytest.mark.parametrize("stop, width", [("\n", 76), ("\r\n  ", 64), (" \n\t", 20), ("\\n", 64), ("\\r\\n", 76)])
 def test_secrets_in_wrapped_base64(stop, width):
     rng = random.Random(5)

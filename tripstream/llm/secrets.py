@@ -13,7 +13,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,11 @@ _BLOCK64 = tuple(
 _JOINT = re.compile(r"[\r\n\\](?<=[A-Za-z0-9+/_\x20\t-][\r\n\\])[\r\n\\]{0,3}[rn]?[\r\n\\]?n?[\x20\t]*[A-Za-z0-9+/_-]")
 _MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00")
 
+#: Bytes that are inflated at once; windows in which inflated text is read, and by how much they overlap.
+PIECE = 1 << 18
+WINDOW = 1 << 20
+OVERLAP = 1 << 16
+
 Span = tuple[int, int, int]  # start, index of the kind, end
 
 
@@ -55,31 +60,118 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _members(raw: bytes) -> list[bytes]:
-    """What compressed members that follow each other hold, each and as one, and the bytes after them; of a cut one what it still has."""
-    got = []
-    while raw.startswith(_MAGIC):
-        tool = lzma.LZMADecompressor() if raw[:1] == b"\xfd" else bz2.BZ2Decompressor() if raw[:1] == b"B" else zlib.decompressobj(47)
+Source = Callable[[], Iterator[bytes]]
+
+
+def _tool(head: bytes):
+    return lzma.LZMADecompressor() if head[:1] == b"\xfd" else bz2.BZ2Decompressor() if head[:1] == b"B" else zlib.decompressobj(47)
+
+
+def _members(source: Source) -> Iterator[tuple[int, bytes]]:
+    """(member, piece of what it holds) of compressed members that follow each other, and then the bytes after them as one more.
+
+    A piece has PIECE bytes at most, whatever they are inflated from; of a cut or broken member comes what it still has.
+    """
+    chunks = source()
+    data, member = b"", 0
+    while True:
+        while len(data) < 6 and (more := next(chunks, b"")):
+            data = (data + more).lstrip(b"\0") if member else data + more  # members may be padded
+        if not data.startswith(_MAGIC):
+            if member:  # what follows the last member
+                while data:
+                    yield member, data
+                    data = next(chunks, b"")
+            return
+        tool = _tool(data)
         try:
-            got.append(tool.decompress(raw))
+            while not tool.eof:
+                if isinstance(tool, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                    got = tool.decompress(data, PIECE)
+                    data = next(chunks, b"") if tool.needs_input and not tool.eof else b""
+                    done = tool.needs_input and not data
+                else:
+                    got = tool.decompress(data, PIECE)
+                    data = tool.unconsumed_tail
+                    done = not data and not got and not tool.eof and not (data := next(chunks, b""))
+                if got:
+                    yield member, got
+                if done and not tool.eof:
+                    return
         except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-            break
-        raw = tool.unused_data if tool.eof else b""
-        raw = raw.lstrip(b"\0")  # members may be padded
-    return [x for x in (*got, b"".join(got) if len(got) > 1 else b"", raw if got else b"") if x]
+            return
+        data, member = tool.unused_data.lstrip(b"\0"), member + 1
 
 
-def _inflated(raw: bytes) -> Iterator[str]:
-    """The texts in compressed bytes, also where one compressed layer lies directly in another; a value met before is not opened again."""
-    met, work = {raw}, _members(raw)
-    while work:
-        new = work.pop()
-        if new in met:
-            continue
-        met.add(new)
-        work += _members(new)
-        if (text := _readable(new)) is not None:
+def _holds(source: Source, since: int = 0) -> Source:
+    return lambda: (piece for member, piece in _members(source) if member >= since)
+
+
+def _opened(source: Source, met: set[bytes]) -> Iterator[Source]:
+    """A compressed source, and those in what it holds: as one, and from each member on that starts so.
+
+    Nothing is kept of a source but its digest; one that was met before is not opened again.
+    """
+    first: dict[int, bytes] = {}
+    digest = hashlib.blake2b(digest_size=16)
+    for member, piece in _members(source):
+        if len(first.get(member, b"")) < 6:
+            first[member] = first.get(member, b"") + piece[:6]
+        digest.update(piece)
+    if not first or digest.digest() in met:
+        return
+    met.add(digest.digest())
+    yield source
+    for member, head in first.items():
+        if head.startswith(_MAGIC):
+            yield from _opened(_holds(source, member), met)
+
+
+def _windows(source: Source) -> Iterator[str]:
+    """Texts of what a compressed source holds, as one and member by member: of WINDOW bytes at most, overlapping by OVERLAP."""
+    every, own, last = _Window(), _Window(), 0
+    for member, piece in _members(source):
+        if member != last:
+            yield from own.rest()
+            own, last = _Window(), member
+        yield from every.texts(piece)
+        yield from own.texts(piece)
+    yield from every.rest()
+    if last:
+        yield from own.rest()
+
+
+class _Window:
+    def __init__(self):
+        self.held, self.new = b"", False
+
+    def texts(self, piece: bytes) -> Iterator[str]:
+        self.held, self.new = self.held + piece, True
+        while len(self.held) >= WINDOW:
+            yield from _text_of(self.held[:WINDOW])
+            self.new = len(self.held) > WINDOW
+            self.held = self.held[WINDOW - OVERLAP :]
+
+    def rest(self) -> Iterator[str]:
+        if self.new:
+            yield from _text_of(self.held)
+
+
+def _text_of(raw: bytes) -> Iterator[str]:
+    start = 0
+    while start < min(4, len(raw)) and raw[start] & 0xC0 == 0x80:  # a window may start and end inside a character
+        start += 1
+    for stop in range(len(raw), max(len(raw) - 4, start), -1):
+        if (text := _readable(raw[start:stop])) is not None:
             yield text
+            return
+
+
+def _inflated(raw: bytes) -> Iterator[str]:
+    """The texts in compressed bytes, also where one compressed layer lies directly in another, in windows of bounded size."""
+    if raw.startswith(_MAGIC):
+        for source in _opened(lambda: iter((raw,)), {hashlib.blake2b(raw, digest_size=16).digest()}):
+            yield from _windows(source)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -204,7 +296,7 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
             raw = bytes.fromhex(m[0].replace("%", ""))
             lo, hi = layer.span(m.start(), m.end())
             for inner in _inflated(raw):
-                yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
+                yield _Layer(inner, np.broadcast_to(lo, len(inner)), np.broadcast_to(hi, len(inner)))
     if "\\" in text and (new := _replaced(layer, _ESCAPE, _escape)) is not None:
         yield new
     for body, pieces in _base64(text):
@@ -214,7 +306,7 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
             continue
         for inner in _inflated(raw):
             lo, hi = layer.span(pieces[0][0], pieces[-1][1])
-            yield _Layer(inner, np.full(len(inner), lo), np.full(len(inner), hi))
+            yield _Layer(inner, np.broadcast_to(lo, len(inner)), np.broadcast_to(hi, len(inner)))
         if (inner := _readable(raw)) is not None:
             lo, hi = layer.ends()
             at = np.concatenate([np.arange(i, j) for i, j in pieces])
@@ -227,22 +319,27 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, of one whole text (null: empty); positions count code points.
 
-    A layer that was met before is not opened again, so that texts which unwrap to each other come to an end.
+    A layer that was met before is not opened again, so that texts which unwrap to each other come to an end. What
+    compressed layers inflate to is read in windows: memory follows the text, not what it unpacks to. A secret longer
+    than the windows' overlap is still found, since its beginning is one.
     """
     text = text or ""
     base = scan(text)
     every = set(base)
-    met, work = {hash(text)}, [_Layer(text)]
-    while work:
-        for new in _unwrapped(work.pop()):
-            name = hash((new.text, int(new.lo[0]), int(new.hi[-1])))
-            if name in met:
-                continue
-            met.add(name)
-            for start, kind, end in scan(new.text):
-                lo, hi = new.span(start, end)
-                every.add((lo, kind, hi))
-            work.append(new)
+    met, open_ = {hash(text)}, [_unwrapped(_Layer(text))]
+    while open_:  # the innermost layer first, so that one window of each is held
+        new = next(open_[-1], None)
+        if new is None:
+            open_.pop()
+            continue
+        name = hash((new.text, int(new.lo[0]), int(new.hi[-1])))
+        if name in met:
+            continue
+        met.add(name)
+        for start, kind, end in scan(new.text):
+            lo, hi = new.span(start, end)
+            every.add((lo, kind, hi))
+        open_.append(_unwrapped(new))
     return base, sorted(every)
 
 
@@ -254,7 +351,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     The counts and the digest are of the base spans; spans has those and what the layers add. Null and empty
-    texts have none. One pass, no shuffle; a text is held once with its layers.
+    texts have none; rows that repeat an id are scanned each for itself; no rows give no rows. One pass, no shuffle;
+    a text is held once with its layers.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,7 +385,7 @@ def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with secrets in text replaced."""
+    """docs, all columns, with secrets in text replaced; null stays null, and the other columns as they are."""
     replace = F.pandas_udf(lambda s: s.map(redacted, na_action="ignore"), "string", F.PandasUDFType.SCALAR)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("text")]
