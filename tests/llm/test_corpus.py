@@ -364,6 +364,43 @@ def test_html():
     assert html_text.Page(None).text() == "" and html_text.Page("<p>a<p>b<scr").text() == "a\nb"
 
 
+def test_html_attributes_and_class_words():
+    text = lambda html: html_text.Page(html).text()
+    assert text("<article><p title=don't>Hi</p> there <a href='x>y' title=\"a>b\">you</a> <b data-x=1 checked \"q>z</b></article>") == "Hi\nthere you z"
+    assert text('<div title="unclosed>a<p>b</p>') in ("", "a\nb") and text("<p a = 'x' b=y/>c") == "c"
+    kept = "<div class='share-price'>Price</div><section id=search-results>Found</section><p class='related-work'>Work</p>"
+    gone = "<div class='site-header'>H</div><div id='cookie-notice'>C</div><div class='x main_nav'>N</div><div class='comment-list'>L</div><p role=banner>B</p>"
+    assert text(f"<article>{kept}{gone}</article>") == "Price\nFound\nWork"
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 20_000 + "inside" + "</div>" * 20_000
+    assert html_text.Page(deep).text() == "inside" and html_text.Page("<b>" * 5000 + "x").text() == "x"
+    assert len(html_text.Page("".join(f"<p>word{i}</p>" for i in range(50_000))).text().split("\n")) == 50_000
+
+
+def test_templates_against_brute_force(spark):
+    """Random pages of blocks; a block's markup that stands on five distinct pages of its host goes, and no other."""
+    rng = random.Random(51)
+    rows = []
+    for host in range(4):
+        pool = [f"<{t}>box {host} {i}</{t}>" for i, t in enumerate(["div", "p", "section", "h2", "blockquote", "li"] * 5)]
+        for page in range(30):
+            own = [f"<p>own {host} {page} {i}</p>" for i in range(3)]
+            blocks = [*own, *rng.sample(pool[: rng.choice((8, 30))], 5)]
+            rng.shuffle(blocks)
+            rows.append((host * 100 + page, f"http://h{host}.org/{page}", blocks))
+    rows.append((900, "http://h0.org/again", rows[0][2]))
+    frame = spark.createDataFrame([(i, u, "".join(b), "x") for i, u, b in rows], "page_id long, url string, html string, HTML string")
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    for i, url, blocks in rows:
+        host = url.split("/")[2]
+        pages = {"".join(b): b for _, u, b in rows if u.split("/")[2] == host}.values()
+        left = [b for b in blocks if sum(b in other for other in pages) < html_text.LEAST_PAGES]
+        assert got[i] == "\n".join(re.sub("<[^>]*>", "", b) for b in left)
+    assert html_text.main_text(frame.limit(0)).count() == 0
+
+
 def test_site_templates_go_and_articles_stay(spark):
     row = lambda i, body: (i, f"http://H.org/{i}", f"<div>Site motto</div><p>{body}</p><div>Shared <b>box</b></div>")
     rows = [*[row(i, f"text {i}") for i in range(8)], (9, "http://other.org/", "<div>Site motto</div><p>z</p>"), (10, None, None), (None, "x", "")]

@@ -20,7 +20,7 @@ BROADCAST_ROWS = 200_000
 SALTS = 8
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+)(?:>|\Z)", re.S
 )
 _NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -45,6 +45,8 @@ DROP_WORDS = {
     "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "comment", "comments",
     "disqus", "replies", "related", "widget", "search", "login",
 }
+#: Words of place and form behind them.
+PLAIN_WORDS = {"area", "bar", "block", "bottom", "box", "container", "form", "inner", "item", "items", "left", "links", "list", "panel", "right", "section", "slot", "top", "unit", "wrap", "wrapper"}
 #: A start tag on the left closes an open element on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLANK = re.compile(r"\s+")
@@ -56,8 +58,15 @@ def _mark(name: str, attributes: str) -> int:
         return 1 if name in MAY_HOLD else 2
     if name in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
         return 0
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return int(not words.isdisjoint(DROP_WORDS))
+    return int(any(_sets_aside(w) for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()))
+
+
+def _sets_aside(name: str) -> bool:
+    """Whether a class, id or role like site-header says so: by its last word, others being no more than its place or form."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    while words and words[-1] in PLAIN_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in DROP_WORDS
 
 
 class Page:
@@ -240,7 +249,7 @@ def _texts(b: pd.DataFrame, known) -> pd.DataFrame:
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    A null or empty html has an empty text. Pages whose url is null or has no host form one site without name.
+    A null or empty html has an empty text; no rows give no rows. Pages whose url is null or has no host form one site without name.
     Repeated rows are extracted alike. How many templates a host has does not matter: few are broadcast,
     many are joined by (host, subtree), and each page gets those that stand on it.
     """
