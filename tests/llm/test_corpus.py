@@ -168,6 +168,17 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_finds_all_of_a_few(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(12, 24)) * 10.0 ** rng.integers(-3, 3, size=(12, 1))
+    df = spark.createDataFrame([(i * 20, x.tolist(), "x", 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, EMBEDDING string, rank int")
+    got = ann.nearest(df, probes=1, tables=1).collect()
+    for q in range(12):
+        own = [r.vec_id for r in sorted((r for r in got if r.query_id == q * 20), key=lambda r: r["rank"])]
+        assert own == [20 * int(i) for i in np.argsort(-ann.exact(v, v[q]), kind="stable") if i != q]
+    assert ann.nearest(df.limit(1)).count() == 0
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 

@@ -93,14 +93,16 @@ def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(1)
 
 
-def _best(k: int, tables: Tables):
+def _best(k: int, tables: Tables, every: bool = False):
+    """For each query the best of a block, among the vectors in the buckets it visits or among all."""
+
     def run(_key, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asks):
             v, ids = np.array(rows["v"].tolist(), float), rows["vec_id"].to_numpy()
             q, names = np.array(asks["q"].tolist(), float), asks["query_id"].to_numpy()
-            seen = np.zeros((len(q), len(v)), bool)
-            for t in range(len(tables.a)):
+            seen = np.full((len(q), len(v)), every)
+            for t in range(0 if every else len(tables.a)):
                 buckets, at = np.unique(tables.keys(v, t), return_inverse=True)
                 probed = tables.probes(q, t)
                 place = np.searchsorted(buckets, probed)
@@ -150,16 +152,30 @@ def nearest(
     rows = src.filter(F.size("v") == shape[0].dims)
     asks = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     n_rows, n_asks = max(1, -(-shape[0].n // block_rows)), max(1, -(-asks.count() // block_queries))
-    rows = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows))).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
-    asks = asks.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
     index = Tables(shape[0].dims, float(np.sqrt(shape[0].most)) * (1 + 1e-9), tables, hashes, width, probes)
+    rows = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)))
     schema = "query_id long, best array<struct<neg: double, vec_id: long>>, looked long"
-    found = rows.groupBy("r", "a").cogroup(asks.groupBy("r", "a")).applyInPandas(_best(k, index), schema)
-    found = found.withColumn("part", F.monotonically_increasing_id())
-    merged = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"), F.sum("looked").alias("looked"))
-    groups = n_rows
-    while groups > FAN_IN:
-        groups = -(-groups // FAN_IN)
-        found = merged(found.withColumn("part", F.pmod(F.xxhash64("part", "query_id"), F.lit(groups))), "query_id", "part")
-    out = merged(found, "query_id").select("query_id", "looked", F.posexplode("best").alias("at", "hit"))
+
+    def merged(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"), F.sum("looked").alias("looked"))
+
+    def found(asks: DataFrame, n_asks: int, every: bool) -> DataFrame:
+        blocks = F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))
+        some = asks.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(n_asks)).cast("int")).withColumn("r", F.explode(blocks))
+        dealt = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
+        out = dealt.groupBy("r", "a").cogroup(some.groupBy("r", "a")).applyInPandas(_best(k, index, every), schema)
+        out, groups = out.withColumn("part", F.monotonically_increasing_id()), n_rows
+        while groups > FAN_IN:
+            groups = -(-groups // FAN_IN)
+            out = merged(out.withColumn("part", F.pmod(F.xxhash64("part", "query_id"), F.lit(groups))), "query_id", "part")
+        return merged(out, "query_id")
+
+    best = cut(found(asks, n_asks, False))
+    # queries whose buckets held fewer than there are to find meet all vectors
+    full = best.filter(F.size("best") >= min(k, shape[0].n - 1)).select("query_id")
+    short = cut(asks.join(full, "query_id", "left_anti"))
+    n_short = short.count()
+    if n_short:
+        best = best.join(full, "query_id", "left_semi").union(found(short, max(1, -(-n_short // block_queries)), True))
+    out = best.select("query_id", "looked", F.posexplode("best").alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.neg")).alias("score"), "looked")
