@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import cos, radians, sqrt
+from math import cos, pi, radians, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,16 +93,55 @@ def implied_kmh(km, seconds) -> Column:
     return F.when(_col(seconds) > 0, _col(km) / _col(seconds) * 3600).otherwise(0.0)
 
 
-def topic_of(event_type="event_type") -> Column:
-    return F.when(_col(event_type) == "gps_ping", "rides.gps.v1").otherwise("rides.trips.v1")
+def topic_of(event_type="event_type", gps: str = S.GPS_TOPIC, trips: str = S.TRIPS_TOPIC) -> Column:
+    return F.when(_col(event_type) == "gps_ping", gps).otherwise(trips)
+
+
+def utc_hour_parts(ts) -> dict[str, Column]:
+    """year, month, day and hour in UTC, zero-padded, whatever the session's zone is."""
+    seconds = F.floor(F.unix_micros(_col(ts)) / 1_000_000)
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int"))
+    parts = {"year": F.year(day), "month": F.month(day), "day": F.day(day), "hour": F.floor(F.pmod(seconds, F.lit(86_400)) / 3600)}
+    return {n: F.lpad(c.cast("string"), 4 if n == "year" else 2, "0") for n, c in parts.items()}
 
 
 def partition_prefix(base: str, ts, event_type) -> Column:
-    """base/event_type=/year=/month=/day=/hour=/ in the session's zone, zero-padded."""
-    at = F.date_format(_col(ts), "'year='yyyy'/month='MM'/day='dd'/hour='HH")
-    return F.concat(F.lit(base.rstrip("/") + "/event_type="), _col(event_type), F.lit("/"), at, F.lit("/"))
+    """base/event_type=/year=/month=/day=/hour=/ in UTC, zero-padded."""
+    at = [F.concat(F.lit(f"{n}="), c) for n, c in utc_hour_parts(ts).items()]
+    return F.concat(F.lit(base.rstrip("/") + "/event_type="), _col(event_type), F.lit("/"), F.concat_ws("/", *at), F.lit("/"))
 
 
 def seeded_uuid(*keys) -> Column:
     h = F.md5(F.concat_ws("|", *[_col(k).cast("string") for k in keys]))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def unit(*keys) -> Column:
+    """A number in [0, 1) that the keys decide: 48 bits of a hash."""
+    h = F.md5(F.concat_ws("|", *[_col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def between(low: float, high: float, *keys) -> Column:
+    return F.lit(low) + F.lit(high - low) * unit(*keys)
+
+
+def lerp(a, b, t) -> Column:
+    return _col(a) + (_col(b) - _col(a)) * t
+
+
+def bearing_deg(lat1, lng1, lat2, lng2) -> Column:
+    """Initial great-circle bearing, 0 to 360."""
+    p1, p2, dl = F.radians(_col(lat1)), F.radians(_col(lat2)), F.radians(_col(lng2) - _col(lng1))
+    x = F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
+    return F.pmod(F.degrees(F.atan2(F.sin(dl) * F.cos(p2), x)) + 360.0, F.lit(360.0))
+
+
+def jitter_point(zone, *keys, most_km: float | None = None) -> tuple[Column, Column]:
+    """(lat, lng) of a point in a zone's disk, the same chance for equal areas; null for an unknown zone."""
+    of = lambda values: F.create_map(*[F.lit(x) for n, v in values.items() for x in (n, float(v))])[_col(zone)]
+    radius = of(S.ZONE_RADIUS_KM) if most_km is None else F.lit(float(most_km))
+    r, theta = radius * F.sqrt(unit(*keys, F.lit("r"))), unit(*keys, F.lit("t")) * F.lit(2 * pi)
+    east = S.KM_PER_DEGREE * cos(radians(S.MID_LATITUDE))
+    lat, lng = of({n: a for n, (a, _) in S.ZONES.items()}), of({n: b for n, (_, b) in S.ZONES.items()})
+    return lat + r * F.sin(theta) / S.KM_PER_DEGREE, lng + r * F.cos(theta) / east

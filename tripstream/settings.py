@@ -25,3 +25,11 @@ TELEPORT_KMH, TELEPORT_SECONDS, TELEPORT_KM = 200.0, 1.0, 0.5
 SAMPLE_TRIPS = 5
 #: Edge of a hex cell in km, about that of the usual resolution 8.
 HEX_EDGE_KM = 0.531
+#: How far pick-ups and drop-offs lie around a zone's centroid, in km.
+ZONE_RADIUS_KM = {"Manhattan": 3.5, "Brooklyn": 5.0, "Queens": 6.0, "Bronx": 4.5, "Staten Island": 5.0, "EWR": 2.0}
+KM_PER_MILE = 1.609344
+LONGEST_HIRE = "4 hours"
+#: Seconds from request to pick-up, and from request to acceptance; noise of speed in km/h and of coordinates in degrees.
+REQUEST_SECONDS, ACCEPT_SECONDS = (30.0, 120.0), (5.0, 30.0)
+SPEED_NOISE, DEGREE_NOISE, MOST_PINGS = 5.0, 1e-4, 3600
+GPS_TOPIC, TRIPS_TOPIC = "rides.gps.v1", "rides.trips.v1"

@@ -16,12 +16,30 @@ from tripstream.operators.shapes import fold_trips, merge_trips, quarantined
 from tripstream.streaming.snapshot import SnapshotTable
 
 
-def session(name: str = "tripstream", shuffle_partitions: int = 4, **conf) -> SparkSession:
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", shuffle_partitions)
-    builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    return builder.getOrCreate()
+@dataclass(frozen=True)
+class SessionConfig:
+    """What a session of this engine is made with; `conf` goes last and wins."""
+
+    name: str = "tripstream"
+    master: str | None = None
+    driver_memory: str = "2g"
+    shuffle_partitions: int = 4
+    jars: tuple[str, ...] = ()
+    conf: tuple[tuple[str, str], ...] = ()
+
+
+def session(config: SessionConfig = SessionConfig()) -> SparkSession:
+    """UTC, adaptive plans, and state in RocksDB, so that it may outgrow the heap; files written are of a fair size."""
+    builder = SparkSession.builder.appName(config.name)
+    builder = builder.master(config.master) if config.master else builder
+    conf = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": str(config.shuffle_partitions), "spark.driver.memory": config.driver_memory,
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    if config.jars:
+        conf["spark.jars"] = ",".join(config.jars)
+    return builder.config(map=conf | dict(config.conf)).getOrCreate()
 
 
 @dataclass(frozen=True)
@@ -50,13 +68,13 @@ def append(job: Job, df: DataFrame) -> StreamingQuery:
     return job.writer(df).outputMode("append").format("parquet").start(job.table)
 
 
-def upsert_trips(job: Job, events: DataFrame, schema) -> StreamingQuery:
-    """Fold each batch and merge it; rows without a trip or a time go to <table>_rejected."""
+def upsert_trips(job: Job, events: DataFrame, table: SnapshotTable, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_trips) -> StreamingQuery:
+    """Fold each batch and merge it; rows without a trip, a time or an id go to <table>_rejected."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
         good, bad = quarantined(batch)
         bad.write.mode("overwrite").parquet(f"{job.table}_rejected/batch_id={batch_id}")
-        SnapshotTable(batch.sparkSession, job.table, schema, "trip_id").upsert(fold_trips(good), batch_id, merge_trips)
+        table.upsert(fold_trips(good), batch_id, merge)
 
     return job.writer(events).foreachBatch(one).start()
 
@@ -101,9 +119,22 @@ def teleport_stream(matched: DataFrame) -> DataFrame:
     return marts.flagged(pairs.applyInPandasWithState(_pairs, _PAIR, _LAST, "append", GroupStateTimeout.NoTimeout))
 
 
-def compact(spark: SparkSession, path: str, files: int) -> DataFrame:
-    """A table's rows in fewer files, to be written beside it."""
-    return spark.read.parquet(path).coalesce(files)
+def compact(spark: SparkSession, path: str, target_bytes: int = 128_000_000) -> int:
+    """Rewrite a batch table in files of about target_bytes, beside it, and put them in its place; how many files.
+
+    For tables that no stream writes or reads meanwhile; the old files stay until the new ones are complete.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = max(1, -(-fs.getContentSummary(at).getLength() // target_bytes))
+    beside, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
+    spark.read.parquet(path).repartition(files).write.mode("overwrite").parquet(beside)
+    fs.delete(hadoop.Path(old), True)
+    if not fs.rename(at, hadoop.Path(old)) or not fs.rename(hadoop.Path(beside), at):
+        raise RuntimeError(f"{path} could not be put in place; its rows are in {old}")
+    fs.delete(hadoop.Path(old), True)
+    return files
 
 
 def progress(query: StreamingQuery) -> dict:
@@ -117,4 +148,4 @@ def progress(query: StreamingQuery) -> dict:
 
 def analyst_view(matched: DataFrame, flagged: DataFrame) -> DataFrame:
     """Completed trips' pings without those of flagged drivers."""
-    return matched.filter("trip_status = 'COMPLETED'").join(flagged.select("driver_id").distinct(), "driver_id", "left_anti").withColumn("event_ts", F.col("event_ts"))
+    return matched.filter("trip_status = 'COMPLETED'").join(flagged.select("driver_id").distinct(), "driver_id", "left_anti")
