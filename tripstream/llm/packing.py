@@ -25,15 +25,22 @@ MEMO = 800_000
 
 #: Letters beyond ASCII that have no other form and one lower case; texts of these and ASCII take the short way.
 _LATIN = "\u00df-\u00f6\u00f8-\u00ff"
-_OTHER = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|[\\x1c-\\x1f]|<\\|")
+_OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 #: How this vocabulary cuts lower-case text of that kind into words.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ \\t-\\ra-z0-9{_LATIN}]+")
-#: A stop or comma at the end of a run, after another sign.
-_SIGNS = re.compile(f"[^ \\t-\\ra-z0-9{_LATIN}][.,](?:[ \\t-\\r]|\\Z)")
+#: A run of one word, cut and in lower case already.
+_WORD = re.compile(f"[a-z{_LATIN}]+")
+#: A stop or comma at the end of a run, after another sign; it begins with the stop, so that few places are tried.
+_SIGNS = re.compile(f"[.,](?<=[^ \\t-\\ra-z0-9{_LATIN}][.,])(?:[ \\t-\\r]|\\Z)")
 #: White space of the tokenizer's own pattern; str.split() also splits at 0x1C to 0x1F.
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+def _plain(text: str) -> bool:
+    """Whether text has nothing but ASCII and such letters, and no special token."""
+    return not _OTHER.search(text) and "<|" not in text
+
+
 class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit bytes.
 
@@ -57,7 +64,7 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         """Runs without white space; of plain texts in lower case, and without the stop or comma behind them."""
-        if _OTHER.search(text):
+        if not _plain(text):
             return [r for r in _SPACES.split(text) if r]
         text = text.lower()
         if not _SIGNS.search(text):
@@ -81,7 +88,8 @@ class Encoder:
         out = []
         for lo in range(0, len(words), 2048):
             some = words[lo : lo + 2048]
-            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            (done,) = self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(done.ids, "<u4")
             cuts = np.flatnonzero(self.last[ids]) + 1
             if len(cuts) != len(some):
                 out += self._any(some)
@@ -91,17 +99,19 @@ class Encoder:
         return out
 
     def _learn(self, missing: list[str]) -> None:
-        own, rest = {}, []
+        words, several, rest = set(), {}, []
         for r in missing:
-            if _OTHER.search(r) or r.lower() != r:
+            if _WORD.fullmatch(r):
+                words.add(r)
+            elif not _plain(r) or r.lower() != r:
                 rest.append(r)
             else:
-                own[r] = _WORDS.findall(r)
-        new = list({w for ws in own.values() for w in ws if w not in self.runs})
+                several[r] = _WORDS.findall(r)
+        words.update(w for ws in several.values() for w in ws if w not in self.runs)
+        new = list(words)
         self.runs.update(zip(new, self._words(new), strict=True))
-        for r, ws in own.items():
-            if len(ws) > 1:
-                self.runs[r] = b"".join([self.runs[w] for w in ws])
+        for r, ws in several.items():
+            self.runs[r] = b"".join([self.runs[w] for w in ws])
         self.runs.update(zip(rest, self._any(rest), strict=True))
 
     def __call__(self, texts: list[str], chunk: int = 2_000_000) -> Iterator[bytes]:
