@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -139,9 +140,15 @@ class Encoder:
                 self.runs.clear()
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process: tasks that run in one worker share what it remembers."""
+    return Encoder(path)
+
+
 def _pieces(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out = []
