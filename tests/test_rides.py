@@ -78,6 +78,9 @@ def test_marts(spark):
     assert [(r.driver_id, r.concurrent_trip_count, r.sample_trip_ids) for r in marts.dual_trips(m).collect()] == [("1", 2, ["A", "C"])]
     assert marts.rolled_up(marts.sketches(m)).collect()[0].distinct_trips == 3
     assert marts.demand_hex(m).collect()[0].ping_count == 4
+    once = m.dropDuplicates(["event_id"])
+    for mart in (marts.demand, marts.demand_hex):
+        assert mart(once, unique_pings=True).collect() == mart(m).collect()
 
 
 def test_teleport(spark):

@@ -133,11 +133,11 @@ def _all() -> dict[str, tuple[Query, str | None]]:
             f"WITH {m} SELECT event_id, us AS event_us, trip_id, driver_id, lat, lng, rider_id, trip_status FROM mt"),
         "active_trips_1min": (lambda s, d: micros(marts.active_trips(_matched(s, d))),
             f"WITH {m} SELECT {_M}, {_Z} AS borough, count(DISTINCT trip_id)::INT AS active_trips FROM mt WHERE trip_status = 'IN_PROGRESS' AND {_Z} IS NOT NULL GROUP BY 1, 2, 3"),
-        "demand_5min": (lambda s, d: micros(marts.demand(_matched(s, d))), f"WITH {m} {_DEMAND_SQL}"),
-        "surge_ratio": (lambda s, d: rounded(micros(marts.surge(marts.demand(_matched(s, d))))), f"WITH {m} SELECT *, round(distinct_trips / greatest(distinct_drivers, 1)::DOUBLE, 6) AS surge FROM ({_DEMAND_SQL})"),
+        "demand_5min": (lambda s, d: micros(marts.demand(_matched(s, d), unique_pings=True)), f"WITH {m} {_DEMAND_SQL}"),
+        "surge_ratio": (lambda s, d: rounded(micros(marts.surge(marts.demand(_matched(s, d), unique_pings=True)))), f"WITH {m} SELECT *, round(distinct_trips / greatest(distinct_drivers, 1)::DOUBLE, 6) AS surge FROM ({_DEMAND_SQL})"),
         "active_trips_hex": (lambda s, d: micros(marts.active_trips_hex(_matched(s, d))),
             f"WITH {m} SELECT {_M}, {_H} AS cell, {_Z} AS borough, count(DISTINCT trip_id)::INT AS active_trips FROM mt WHERE trip_status = 'IN_PROGRESS' GROUP BY 1, 2, 3, 4"),
-        "demand_hex": (lambda s, d: micros(marts.demand_hex(_matched(s, d))), f"WITH {m} SELECT {_W}, {_H} AS cell, {_Z} AS borough, {_DEMAND} FROM mt GROUP BY 1, 2, 3, 4"),
+        "demand_hex": (lambda s, d: micros(marts.demand_hex(_matched(s, d), unique_pings=True)), f"WITH {m} SELECT {_W}, {_H} AS cell, {_Z} AS borough, {_DEMAND} FROM mt GROUP BY 1, 2, 3, 4"),
         "hex_cells": (lambda s, d: B.events(s, d).select("event_id", hex_cell().alias("cell")), f"WITH {B.SQL} SELECT event_id, {_H} AS cell FROM ev"),
         "fraud_teleport": (lambda s, d: rounded(micros(marts.teleports(_pings(s, d)))), _TELEPORT),
         "fraud_dual_trip": (_dual, f"WITH {B.SQL}, t AS (SELECT {_W}, driver_id, list_sort(list(DISTINCT trip_id)) AS x FROM pg GROUP BY 1, 2, 3) "
@@ -165,7 +165,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
             "AND g.us >= t.started_us - 30000000 AND (t.ended_us IS NULL OR g.us <= t.ended_us + 300000000)",
         ),
         "surge_hex": (
-            lambda s, d: rounded(micros(marts.surge(marts.demand_hex(_matched(s, d))))),
+            lambda s, d: rounded(micros(marts.surge(marts.demand_hex(_matched(s, d), unique_pings=True)))),
             f"WITH {m} SELECT *, round(distinct_trips / greatest(distinct_drivers, 1)::DOUBLE, 6) AS surge FROM (SELECT {_W}, {_H} AS cell, {_Z} AS borough, {_DEMAND} FROM mt GROUP BY 1, 2, 3, 4)",
         ),
         "analyst_pings": (
