@@ -270,6 +270,23 @@ def test_packing(spark, texts):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("memo", [50, 800_000])
+def test_encoder_is_the_tokenizer(monkeypatch, memo):
+    """Over several calls of one encoder, as tasks of one worker make them, also where it forgets runs."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encode, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(8)
+    monkeypatch.setattr(packing, "MEMO", memo)
+    signs = [*"abcXYZ  \n\t.,;'!?()<|>09#\"-\r\x0b\x1c\x1f\x85\xa0\x7fÄßéÿ×İ\u0301\u0308Ω中ª\ufeff", "..", ",.", ". ", "!. ", "don't ", "we'll. ", "<|endoftext|>"]
+    for _ in range(6):
+        texts = ["".join(rng.choices(signs[: rng.choice((12, 40, len(signs)))], k=rng.randrange(40))) for _ in range(500)]
+        for t, got in zip(texts, encode(texts, chunk=2000), strict=True):
+            assert got == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert len(encode.runs) <= 2 * memo + 2000
+
+
 def test_fullest_against_all_subsets():
     rng = random.Random(1)
     for _ in range(60):
