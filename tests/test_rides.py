@@ -1,5 +1,6 @@
 """Shapes and marts against hand-made rows, streams against batch."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,6 +91,24 @@ def test_teleport(spark):
     assert [(r.event_id, r.prev_event_id) for r in got] == [("b", "a")] and 20 < got[0].distance_km < 30
 
 
+def test_teleport_over_days(spark, monkeypatch):
+    """The ping before is the driver's last on any earlier day; no driver and no time are values like any other."""
+    rng = random.Random(4)
+    spots = [(40.7580, -73.9855), (40.6413, -73.7781), (40.75, -73.98)]
+    rows = [
+        (f"e{i:03}", at(minutes=rng.choice((1, 9, 30, 1430)) + 720 * rng.randrange(8)) if i % 19 else None, "T", rng.choice(("1", "2", None)), *rng.choice(spots), "x")
+        for i in range(300)
+    ]
+    want = set()
+    for driver in ("1", "2", None):
+        own = sorted((r for r in rows if r[3] == driver and r[1]), key=lambda r: (r[1], r[0]))
+        want |= {(b[0], a[0]) for a, b in zip(own, own[1:], strict=False) if (b[1] - a[1]).total_seconds() >= 1}
+    monkeypatch.setattr(marts, "flagged", lambda df: df)
+    pairs = marts.teleports(spark.createDataFrame(rows, MATCHED)).collect()
+    got = {(r.event_id, r.prev_event_id) for r in pairs if r.event_ts and r.prev_event_ts and (r.event_ts - r.prev_event_ts).total_seconds() >= 1}
+    assert got == want and len({r[1].date() for r in rows if r[1]}) > 3
+
+
 def test_zone_and_prefix(spark):
     df = spark.createDataFrame([(40.78, -73.97), (40.64, -73.95), (37.77, -122.4), (None, 1.0)], "lat double, lng double")
     assert [r[0] for r in df.select(X.zone_of()).collect()] == ["Manhattan", "Brooklyn", None, None]

@@ -60,9 +60,19 @@ def dual_trips(matched: DataFrame) -> DataFrame:
 
 
 def teleports(matched: DataFrame) -> DataFrame:
-    """Pings too far from the driver's previous one for the time between; ties in time go by event_id. Batch only."""
-    w = Window.partitionBy("driver_id").orderBy("event_ts", "event_id")
-    df = matched.select("event_id", "event_ts", "driver_id", "trip_id", *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("event_id", "event_ts", "trip_id", "lat", "lng")], "lat", "lng")
+    """Pings too far from the driver's previous one for the time between; ties in time go by event_id. Batch only.
+
+    Pings are ordered within a driver's day; the first of a day follows the last of the driver's latest day before,
+    so that no task sorts a driver's whole history.
+    """
+    columns = ("event_ts", "event_id", "trip_id", "lat", "lng")
+    df = matched.select("driver_id", *columns, F.expr("unix_micros(event_ts) div 86400000000").alias("day"))
+    ping = F.struct(*columns)
+    days = df.groupBy("driver_id", "day").agg(F.max(ping).alias("last"))
+    days = days.select(F.col("driver_id").alias("d"), F.col("day").alias("e"), F.lag("last").over(Window.partitionBy("driver_id").orderBy("day")).alias("before"))
+    df = df.withColumn("prev", F.lag(ping).over(Window.partitionBy("driver_id", "day").orderBy("event_ts", "event_id")))
+    df = df.join(days, F.col("driver_id").eqNullSafe(F.col("d")) & F.col("day").eqNullSafe(F.col("e")), "left").withColumn("prev", F.coalesce("prev", "before"))
+    df = df.select("event_id", "event_ts", "driver_id", "trip_id", *[F.col(f"prev.{c}").alias(f"prev_{c}") for c in ("event_id", "event_ts", "trip_id", "lat", "lng")], "lat", "lng")
     return flagged(df.filter("prev_event_id is not null"))
 
 
