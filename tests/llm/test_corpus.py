@@ -569,6 +569,35 @@ def test_preference_weights_against_brute_force():
     assert ((ranked >= quality.CUT) == y).mean() > 0.7 and (np.argsort(ranked, kind="stable") == np.argsort(model.raw(x), kind="stable")).all()
 
 
+def test_every_pair_counts_alike():
+    """The slope over all pairs vanishes at the fitted weights; the cut is the best of all, with equal scores on one side of it."""
+    rng = np.random.default_rng(43)
+    for n, noise in ((1500, 2.0), (40, 0.0), (8, 1.0)):
+        x = np.round(rng.normal(size=(n, quality.N_FEATURES)), 1)
+        y = (x[:, 0] - 0.7 * x[:, 3] + noise * rng.normal(size=n) > 0).astype(int)
+        x, y = np.concatenate((x, x[: n // 2])), np.concatenate((y, 1 - y[: n // 4], y[n // 4 : n // 2]))
+        model = quality.fit(x, y)
+        z, raw = np.clip((x - model.mean) / model.scale, -8, 8), model.raw(x)
+        lost = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0]))
+        slope = (z[y == 0] * lost.mean(0)[:, None]).mean(0) - (z[y == 1] * lost.mean(1)[:, None]).mean(0)
+        assert np.abs(slope + 1e-4 * model.weights).max() < 1e-7
+        values = np.unique(raw)
+        hits = [int((raw[y == 0] < v).sum()) * int((y == 1).sum()) + int((raw[y == 1] >= v).sum()) * int((y == 0).sum()) for v in values]
+        at = int(np.argmax(hits))
+        assert model.cut == (values[at] - 1 if at == 0 else (values[at - 1] + values[at]) / 2)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled ids than were once learned from: the table's fit is that of all rows in memory, to the last bit."""
+    rng = random.Random(44)
+    texts = [" ".join(f"{'W!' if i % 3 and rng.random() < 0.7 else 'w'}{rng.randrange(300)}" for _ in range(3 + i % 20)) for i in range(16_000)]
+    rows = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) > 12_500
+    want = quality.fit(np.array([quality.features(texts[i]) for i in rows]), np.array([int(i % 3 == 0) for i in rows]))
+    got = quality.learn(docs(spark, texts), labels(spark, [(i, int(i % 3 == 0), 0) for i in range(len(texts))]))
+    assert all((getattr(got, k) == getattr(want, k)).all() for k in ("mean", "scale", "weights")) and got.cut == want.cut
+
+
 def test_classifiers_on_edges(spark):
     lab = labels(spark, [(i, i % 2, 1 - i % 2) for i in range(40)])
     some = docs(spark, [f"alpha{i} beta" if i % 2 else f"GAMMA{i}!!! !!!" for i in range(40)] + ["noid", "x " * 200_000, "noid", "alpha1 beta"])
