@@ -13,7 +13,6 @@ from math import factorial
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from numpy.polynomial import Polynomial
 from pyspark.sql import DataFrame
@@ -24,8 +23,10 @@ from .shared import cut, forget, held_out, pick
 #: Up to so many training rows are gathered and summed on the driver, more by jobs over a table; the sums are equal.
 LOCAL_ROWS = 10_000
 #: Rows summed at once; with UNIT, it keeps every partial sum a whole number below 2**53.
-BLOCK = 4096
+BLOCK = 1024
 UNIT = 2.0**36
+#: So many texts at a time become Python strings.
+TEXTS = 256
 #: Scores are binned this wide; the pairs' losses are expanded in the places inside the bins up to this order (error 1e-10).
 WIDTH = 1 / 16
 ORDER = 5
@@ -323,9 +324,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranking:
     return fit_all(Rows(x, y))
 
 
+def _features(texts: pa.Array) -> np.ndarray:
+    """A row of features per text; only a few texts at a time become Python strings."""
+    out = np.empty((len(texts), N_FEATURES))
+    for at in range(0, len(texts), TEXTS):
+        for i, t in enumerate(texts.slice(at, TEXTS).to_pylist(), at):
+            out[i] = features(t)
+    return out
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [np.array(features(t), "<f8").tobytes() for t in b.column("text").to_pylist()]
+        x = [row.astype("<f8").tobytes() for row in _features(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(x, pa.binary())], ["doc_id", "x"])
 
 
@@ -352,12 +362,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = learn(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b["text"]]).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.score(x), "text": b["text"]})
+            score = pa.array(model.score(_features(b.column("text"))), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), score, b.column("text")], ["doc_id", "score", "text"])
 
-    scored = pick(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, score double, text string")
+    scored = pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, text string")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "text")
 
 
@@ -365,9 +375,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are predicted good; null and empty texts are scored as texts without words."""
     model = learn(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in text]).reshape(-1, N_FEATURES)))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(_features(text)), pa.float64())
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
