@@ -10,11 +10,13 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, stages, toxicity, url_filter
+from tripstream.llm import ann, hashing, html_text, jaccard_join, mixing, packing, quality, quality_rules, secrets, shared, stages, toxicity, url_filter
 from tripstream.llm.components import connected_components, forest, spanned
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, task int"
@@ -699,3 +701,53 @@ def test_near_duplicates_go_by_row(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, (spark.createDataFrame([rows[i] for i in (0, 1, 4, 6)], "doc_id long, text string").collect())))
     got = jaccard_join.jaccard_join(spark.createDataFrame([(3, near()), (3, near(1)), (4, near(2))], "doc_id long, text string"), 5, 4, 5).collect()
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(3, 3, 2), (3, 3, 2), (4, 3, 2)]
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "secrets", "packing"])
+def test_stages_send_small_batches(spark, tmp_path, name):
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(n=b["text"].str.len().sum())[["n"]].iloc[:1]
+
+    before = spark.conf.get(shared.BATCH_CONF, None)
+    rows = docs(spark, [f"w{i} and some other words" for i in range(4)])
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    big = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("abcd "), 4000).alias("text"))
+    try:
+        spark.conf.unset(shared.BATCH_CONF)
+        dict(stages.STAGES)[name](spark, rows, str(tmp_path))
+        got = [r.n for r in big.mapInPandas(sizes, "n long").collect()]
+        assert sum(got) == 1500 * 20000 and max(got) <= 2 * shared.BATCH_BYTES
+        spark.conf.set(shared.BATCH_CONF, 12345)
+        stages.small_batches(spark)
+        assert int(spark.conf.get(shared.BATCH_CONF)) == 12345
+    finally:
+        spark.conf.unset(shared.BATCH_CONF)
+        if before is not None:
+            spark.conf.set(shared.BATCH_CONF, before)
+
+
+def test_small_batches_deal_copies_once():
+    base = [f"w{i}" for i in range(80)]
+    some = [" ".join([f"x{i % 20}", *base]) for i in range(60)]
+    frame = pd.DataFrame({"doc_id": range(60), "text": some})
+    dealt = []
+    for step in (60, 7):
+        out = pd.concat(list(jaccard_join._scan(3, 9, 10, 4)(frame[i : i + step].reset_index(drop=True) for i in range(0, 60, step))))
+        dealt.append([sorted(len(x) for x in out["sigs"][out["kind"] == 1]), sum(len(x) for x in out["ids"][out["kind"] == 0]), (out["kind"] == 0).sum()])
+    assert dealt[0] == dealt[1] and dealt[0][1] == 60 * 5 * 8
+
+
+def test_workers_give_memory_back_once_a_task(monkeypatch):
+    frame = pd.DataFrame({"doc_id": [1, 2], "text": ["some words of a text", None]})
+    arrow = [pa.RecordBatch.from_pandas(frame)] * 3
+    again = frame.assign(k1=0, k2=0, comp=0)
+    for module, run, batches in (
+        (jaccard_join, jaccard_join._scan(3, 9, 10, 4), [frame] * 3), (jaccard_join, jaccard_join._rescan(3, 9, 10, 4, 2, 6), [again] * 3),
+        (packing, packing._pieces(stages.tokenizer_path()), [frame] * 3), (quality, quality._packed, arrow),
+    ):
+        calls = []
+        monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+        list(run(iter(batches)))
+        assert len(calls) == 1
+    shared.give_back()

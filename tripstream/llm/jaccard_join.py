@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, forest, spanned
 from .hashing import mix, shingles
-from .shared import cut, forget, parts, pick
+from .shared import cut, forget, give_back, parts, pick
 
 #: Sets compared in one block; larger candidate groups are compared by pairs of blocks.
 BLOCK = 384
@@ -47,6 +47,8 @@ RANGE_BYTES = 12_000_000
 LEAST_RANGES = 12
 #: Signatures that a worker holds before it deals them out.
 CHUNK = 500_000
+#: Documents whose rows a worker gathers, and among which copies are dealt out once.
+NOTES = 10_000
 
 
 @lru_cache(64)
@@ -154,9 +156,9 @@ _NOTE_NAMES = ("part", "kind", "ids", "sigs")
 
 
 def _dealt(sigs: list[np.ndarray], nodes: list[np.ndarray], ranges: int) -> list[tuple[int, int, bytes, bytes]]:
-    """The signatures of one batch by range of value (kind 1), and a spanning forest of the nodes that share some here (kind 2).
+    """The signatures of some sets by range of value (kind 1), and a spanning forest of the nodes that share some here (kind 2).
 
-    A signature goes on once, for the smallest node of its tree in the forest: a group that fills the batch is one node from here on.
+    A signature goes on once, for the smallest node of its tree in the forest: a group that fills them is one node from here on.
     """
     rows: list[tuple[int, int, bytes, bytes]] = []
     if not sigs:
@@ -201,12 +203,16 @@ class _Dealer:
 
 
 def _scan(k: int, num: int, den: int, ranges: int):
-    """Each batch: rows of its documents (kind 0), and its signatures by range of value (kind 1), one node for each."""
+    """Rows of the documents (kind 0), and their signatures by range of value (kind 1), one node for each; batches may be small."""
+
+    def noted(info: np.ndarray) -> pd.DataFrame:
+        where = info[:, 0] % ranges
+        return pd.DataFrame([(int(p), 0, np.ascontiguousarray(info[where == p]).tobytes(), b"") for p in np.unique(where)], columns=_NOTE_NAMES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealer, seen, held, size = _Dealer(ranges), set(), [], 0
         for b in batches:
-            docs, dealer = [], _Dealer(ranges)
-            seen: set[int] = set()
+            docs: list[tuple[int, int, int]] = []
             known = b["doc_id"].notna().to_numpy()
             for i, h in enumerate(shingles(b["text"].tolist(), k)):
                 one, two = _key(h) if len(h) else (0, 0)
@@ -215,27 +221,33 @@ def _scan(k: int, num: int, den: int, ranges: int):
                     seen.add(one)
                     dealer.add(one, signatures(h, num, den, *FIRST))
                     yield from dealer.dealt(CHUNK)
-            yield from dealer.dealt()
             ids = b["doc_id"].fillna(0).astype("int64").to_numpy()
-            info = np.column_stack([ids, known.astype(np.int64), np.array(docs, np.int64).reshape(-1, 3)])
-            where = (ids % ranges).astype(np.int64)
-            rows = [(int(p), 0, np.ascontiguousarray(info[where == p]).tobytes(), b"") for p in np.unique(where)]
-            yield pd.DataFrame(rows, columns=_NOTE_NAMES)
+            held.append(np.column_stack([ids, known.astype(np.int64), np.array(docs, np.int64).reshape(-1, 3)]))
+            size += len(b)
+            if size >= NOTES:
+                yield noted(np.concatenate(held))
+                held, size = [], 0
+                seen.clear()
+        yield from dealer.dealt()
+        if held:
+            yield noted(np.concatenate(held))
+        give_back()
 
     return run
 
 
 def _rescan(k: int, num: int, den: int, ranges: int, spare: int, small: int):
-    """Each batch (text, k1, k2, comp): signatures of its sets within their groups."""
+    """Batches (text, k1, k2, comp): signatures of their sets within their groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dealer = _Dealer(ranges)
         for b in batches:
-            dealer = _Dealer(ranges)
             for h, one, two, comp in zip(shingles(b["text"].tolist(), k), b["k1"], b["k2"], b["comp"], strict=True):
                 if len(h) and _key(h) == (one, two):  # a repeated doc_id brings other texts along
                     dealer.add(one, mix(signatures(h, num, den, spare, small) ^ mix(np.array([comp], np.int64).view(np.uint64), 41)))
                     yield from dealer.dealt(CHUNK)
-            yield from dealer.dealt()
+        yield from dealer.dealt()
+        give_back()
 
     return run
 

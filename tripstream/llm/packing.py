@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, pick
+from .shared import cut, give_back, pick
 
 CAPACITY = 4096
 END_ID = 1
@@ -159,6 +159,7 @@ def _pieces(path: str):
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
+        give_back()
 
     return run
 

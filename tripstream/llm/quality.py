@@ -18,7 +18,7 @@ from numpy.polynomial import Polynomial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, held_out, pick
+from .shared import cut, forget, give_back, held_out, pick
 
 #: Up to so many training rows are gathered and summed on the driver, more by jobs over a table; the sums are equal.
 LOCAL_ROWS = 10_000
@@ -337,6 +337,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [row.astype("<f8").tobytes() for row in _features(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(x, pa.binary())], ["doc_id", "x"])
+    give_back()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Ranking:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at a time, and the setting that has them.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
@@ -59,6 +64,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's rows go to Python workers some BATCH_BYTES at a time, unless it has a limit of its own.
+
+    By default a batch has 10,000 rows of whatever size, which the executor and its worker each hold several times.
+    The setting is read when a frame runs, so it can't be put back before; it cuts batches only, and no row is left out.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Called in a worker at the end of a task: memory that is free goes back to the system; else it stays with the idle worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

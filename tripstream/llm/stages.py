@@ -14,7 +14,7 @@ from .mixing import mixed
 from .packing import pack
 from .quality import keep_good
 from .secrets import redact
-from .shared import cut, forget, table
+from .shared import cut, forget, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Up to so many ids are broadcast.
@@ -35,6 +35,7 @@ def _plain(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str], list[s
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts good, as they are; null and empty texts are scored too, equal texts alike."""
+    small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -44,6 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are kept or dropped one by one: rows that repeat a doc_id, or have none (these come last), as any other.
     Texts without words are linked with nothing and stay.
     """
+    small_batches(spark)
     plain, names, (doc_id, text) = _plain(docs, "doc_id", "text")
     ids = plain.groupBy(doc_id).agg(F.count("*").alias("n")).filter(F.col("n") > 1).limit(1).count() or plain.filter(F.col(doc_id).isNull()).limit(1).count()
     rows, row = (cut(plain.withColumn("row", F.monotonically_increasing_id())), "row") if ids else (plain, doc_id)
@@ -65,6 +67,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret, nested ones too, replaced; n_chars, if docs has it, follows. A null text stays null."""
+    small_batches(spark)
     clean = redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -79,6 +82,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences, a row each; copies are packed each for itself, a text without words is its end id."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 
